@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import decontaminate, simhash_dedup
+from farewright.llm import decontaminate, mixing, simhash_dedup
+from farewright.llm.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +44,56 @@ FROM lowered LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
+    out = mixing.mix(rows, mixing.plan(rows))
+    return out.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+ranked AS (
+  SELECT source, source_size, 2 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS sid
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source)),
+weighed AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM ranked),
+rated AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS rate
+  FROM weighed WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sources AS (
+  SELECT source, sid, source_size, least(max(CASE WHEN rate * weight <= cap THEN rate END) OVER () * weight, CAST(cap AS DOUBLE)) AS target,
+    greatest(1, least(1048576, CAST(ceil(source_size / 16384.0) AS BIGINT))) AS blocks FROM rated),
+placed AS (
+  SELECT r.*, s.sid, source_size, target,
+    CAST('0x' || substr(md5('mix|doc|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % blocks AS block
+  FROM rows r JOIN sources s ON r.source IS NOT DISTINCT FROM s.source),
+blocks AS (SELECT sid, block, source_size, target, sum(size) AS words FROM placed GROUP BY ALL),
+ordered AS (
+  SELECT sid, block, p, words, least(target - p * source_size, source_size) - coalesce(sum(words) OVER (
+    PARTITION BY sid, p ORDER BY md5('mix|block|' || sid || '|' || p || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+  FROM blocks, (SELECT unnest([0, 1]) AS p)),
+upto AS (
+  SELECT *, sum(size) OVER (PARTITION BY sid, block, p ORDER BY md5('mix|row|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || p), size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
+  FROM (SELECT row_number() OVER () AS r, * FROM placed), (SELECT unnest([0, 1]) AS p))
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(sum(CASE WHEN rest > 0 AND (rest >= words OR so_far - size / 2.0 <= least(rest, words)) THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM upto JOIN ordered USING (sid, block, p) GROUP BY r, doc_id
+"""
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op6_source_mixing": op6_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op6_source_mixing": OP6_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
 }
