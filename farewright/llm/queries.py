@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import decontaminate, mixing, simhash_dedup
+from farewright.llm import decontaminate, language_id, mixing, simhash_dedup
 from farewright.llm.shared import written
 
 
@@ -88,10 +88,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mixing": OP6_SQL,
