@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import decontaminate, language_id, mixing, simhash_dedup
+from farewright.llm import decontaminate, language_id, mixing, ogg_media, pseudonyms, simhash_dedup
 from farewright.llm.shared import written
 
 
@@ -88,6 +88,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = ogg_media.store_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ogg_media.read_media(stored).drop("page_times")
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -98,6 +108,8 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_ogg_media": op8_ogg_media,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
