@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import chat_format, decontaminate, language_id, mixing, ogg_media, pseudonyms, simhash_dedup, url_rules
+from farewright.llm import chat_format, decontaminate, language_id, mixing, ogg_media, pseudonyms, simhash_dedup, token_scan, url_rules
 from farewright.llm.shared import written
 
 
@@ -39,6 +39,12 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = token_scan.write_flat(_table(spark, sf_dir, "documents"))
+    found = written(token_scan.find_separators(token_scan.blocks_of(flat)), "separators")
+    return token_scan.named(token_scan.documents(found), flat)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -152,6 +158,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_source_mixing": op6_source_mixing,
