@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import chat_format, decontaminate, language_id, mixing, ogg_media, pseudonyms, simhash_dedup, token_scan, url_rules
+from farewright.llm import chat_format, decontaminate, language_id, license_scan, mixing, ogg_media, pseudonyms, simhash_dedup, token_scan, url_rules
+from farewright.llm.license_texts import LICENSES, PHRASES, TITLES, WORDS
 from farewright.llm.shared import written
 
 
@@ -13,6 +14,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.known_digests(spark)).select("doc_id", "digest", "n_words", "license")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op1_sql() -> str:
+    """The same canonical form in SQL, with the licence texts and spellings as they stand."""
+    known = ", ".join(f"({_quoted(n)}, {_quoted(h + t)})" for n, t in LICENSES.items() for h in ("", *(f"{x}\n\n" for x in TITLES.get(n, []))))
+    same = ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in WORDS.items())
+    phrases = "t"
+    for a, b in PHRASES.items():
+        phrases = f"replace({phrases}, {_quoted(' ' + a.replace(' ', '  ') + ' ')}, {_quoted(' ' + b.replace(' ', '  ') + ' ')})"
+    return f"""
+WITH known(license, text) AS (VALUES {known}),
+texts AS (SELECT doc_id, CAST(NULL AS VARCHAR) AS license, text FROM documents UNION ALL SELECT NULL, license, text FROM known),
+bare AS (
+  SELECT doc_id, license, trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(coalesce(text, ''), chr(13), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.COPYRIGHT_LINE}', chr(10), 'g'),
+    '{license_scan.BULLET}', chr(10), 'g'), '{license_scan.PUNCTUATION}', ' ', 'g'), ' ') AS t FROM texts),
+spelt AS (SELECT doc_id, license, ' ' || array_to_string(list_transform(string_split(t, ' '), lambda w: coalesce(MAP {{{same}}}[w], w)), '  ') || ' ' AS t FROM bare),
+formed AS (SELECT doc_id, license, trim(replace({phrases}, '  ', ' '), ' ') AS c FROM spelt),
+digests AS (SELECT sha256(c) AS digest, min(license) AS license FROM formed WHERE license IS NOT NULL GROUP BY 1)
+SELECT doc_id, sha256(c) AS digest, CAST(CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS BIGINT) AS n_words, d.license AS license
+FROM formed f LEFT JOIN digests d ON sha256(f.c) = d.digest AND f.c <> '' WHERE f.license IS NULL
+"""
+
+
 #: A conversation whose texts hold the template's own marks.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -157,6 +189,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
@@ -168,6 +201,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": _op1_sql(),
     "op2_chat_format": OP2_SQL,
     "op4_url_filter": OP4_SQL,
     "op6_source_mixing": OP6_SQL,
