@@ -23,6 +23,8 @@ BLOCK_WORDS = 1 << 14
 MAX_BLOCKS = 1 << 20
 #: The tree has 2**DEPTH leaves, the output shards.
 DEPTH = 6
+#: The level from which the nodes of a deeper tree are spread over tasks.
+SPREAD_AT = 8
 SEED = "mix"
 #: So many rows of sources or draws are broadcast at most; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
@@ -82,21 +84,21 @@ def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
 
 
 def split_quotas(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """quotas: (sid, n). (sid, dealt): how many of its n blocks go to each of the 2**depth shards.
+    """quotas: (sid, n). (shard, sid, n): how many of its blocks go to each of the 2**depth shards.
 
     Every node halves its number of blocks and draws the left half without replacement: source by
     source, each conditional on the ones before. Node, source and SEED fix the random number."""
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "n"))).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
     draw = _hypergeometric("a.total", "x.n", "a.want", "(cast(conv(substring(md5(concat_ws('|', 'SEED', node, x.sid)), 1, 13), 16, 10) as double) / 4503599627370496)").replace("SEED", SEED)
-    for _ in range(depth):
+    for level in range(depth):
+        nodes = nodes.repartition("node") if level == SPREAD_AT else nodes
         total = "aggregate(q, 0L, (t, x) -> t + x.n)"
         left = f"""aggregate(q, named_struct('want', cast(floor({total} / 2) as bigint), 'total', {total}, 'out', cast(array() as array<struct<sid: bigint, n: bigint>>)),
           (a, x) -> transform(array({draw}), k -> named_struct('want', a.want - k, 'total', a.total - x.n, 'out', array_append(a.out, named_struct('sid', x.sid, 'n', k))))[0]).out"""
         nodes = nodes.select("node", "q", F.expr(left).alias("l")).select(F.explode(F.array(
             F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("zip_with(q, l, (x, y) -> named_struct('sid', x.sid, 'n', x.n - y.n))").alias("q")))).alias("s")).select("s.node", "s.q")
-    leaf = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.explode("q").alias("x")).select("shard", "x.sid", "x.n")
-    return leaf.groupBy("sid").agg(F.expr("transform(sort_array(collect_list(struct(shard, n))), x -> x.n)").alias("dealt"))
+    return nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.explode("q").alias("x")).select("shard", "x.sid", "x.n")
 
 
 @dataclass
@@ -122,9 +124,9 @@ def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, depth: int = DEPTH) ->
     draws = written(draws, "draws")
     dealt = split_quotas(draws.groupBy("sid").agg(F.count("*").alias("n")), depth)
     permuted = Window.partitionBy("sid").orderBy(_key("draw", F.col("sid"), F.col("pass"), F.col("block")), "pass", "block")
-    runs = dealt.select("sid", F.expr("transform(dealt, (x, i) -> aggregate(slice(dealt, 1, i + 1), 0L, (t, y) -> t + y))").alias("ends"))
-    turn = draws.withColumn("j", F.row_number().over(permuted)).join(_bounded(written(runs, "runs")), "sid")
-    turn = turn.withColumn("shard", F.expr("size(filter(ends, e -> e < j))"))
+    up_to = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = dealt.where("n > 0").withColumn("end", F.sum("n").over(up_to)).select("sid", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("j"))
+    turn = draws.withColumn("j", F.row_number().over(permuted).cast("long")).join(places, ["sid", "j"])
     both = turn.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "part", "all", "shard"))).alias("draws"))
     return Plan(sources, written(both, "dealt"))
 

@@ -103,18 +103,31 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs: the signed fingerprint, and the smallest
-    doc_id that links of 3 or fewer differing bits reach.
+    """(doc_id, th, fp, root, component_id) for each row of docs: xxhash64 of its text, its signed
+    fingerprint, the least fingerprint of its component, and the smallest doc_id that links of 3 or
+    fewer differing bits reach.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any
     other. Repeated rows stay, each with the same answer. A null doc_id is never the smallest; a
     component of nothing else has null. No rows give no rows. Other columns are left out, so their
     names do not matter."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = written(with_fingerprints(narrow, "text", "fp", shingle), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     of = components(links(prints))
     rooted = prints.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(label, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then the least
+    fingerprint and text hash; of rows alike in all of these, any one."""
+    found = near_duplicates(docs, doc_id, text, shingle)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
+    kept = found.groupBy("root").agg(F.min_by(F.struct(F.xxhash64("doc_id").alias("d"), "th"), order).alias("k"))
+    d, th, kd, kth = fresh(docs, "d", "th", "kept_d", "kept_th")
+    kept = kept.select(F.col("k.d").alias(kd), F.col("k.th").alias(kth))
+    rows = docs.withColumns({d: F.xxhash64(doc_id), th: F.xxhash64(text)})
+    return rows.join(kept, (F.col(d) == F.col(kd)) & (F.col(th) == F.col(kth))).dropDuplicates([d, th]).select(*docs.columns)
