@@ -28,37 +28,41 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FIELDS = 0x5555555555555555
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of UTF-8 bytes: a bit is 1 if it is set in over half the hashes of the
+def fingerprints(text: bytes, shingle: int = 3, tables: int = 1, seed: int = 42) -> list[int]:
+    """Signed 64-bit SimHashes of UTF-8 bytes: a bit is 1 if it is set in over half the hashes of the
     text's word shingles, repeats included. Fewer words than a shingle: one hash of them all; no
-    words: 0."""
+    words: 0. Tables after the first mix the same hashes anew, which gives independent bits."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * tables
     if len(words) < shingle:
         grams, n = iter([b" ".join(words)]), 1
     else:
         n = len(words) - shingle + 1
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hashes = map(xxhash.xxh64_intdigest, grams, repeat(seed))
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((tables, 64), np.int64)
     for start in range(0, n, CHUNK):
         h = np.fromiter(hashes, np.dtype("<u8"), min(CHUNK, n - start))
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+        for t in range(tables):
+            counts[t] += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def with_fingerprints(docs: DataFrame, text: str, out: str, shingle: int = 3) -> DataFrame:
-    """Adds the fingerprint of each whole text; null counts as empty."""
+def with_fingerprints(docs: DataFrame, text: str, out: str, shingle: int = 3, tables: int = 1) -> DataFrame:
+    """docs without its text, and with the array of fingerprints of each whole text; null counts as
+    empty."""
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(t or b"", shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.int64())], names=[*batch.schema.names[1:], out])
+            prints = [fingerprints(t or b"", shingle, tables) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], out])
 
     (raw,) = fresh(docs, "utf8")
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).withColumn(out, F.lit(0).cast("long")).schema
+    schema = docs.select(*keep).withColumn(out, F.array().cast("array<bigint>")).schema
     for f in schema.fields:
         f.nullable = True
     return docs.select(F.col(text).cast("binary").alias(raw), *keep).mapInArrow(run, schema)
@@ -80,51 +84,55 @@ def _manhattan(a: Column, b: Column) -> Column:
 
 def _half(packed: Column, half: int) -> Column:
     word = F.shiftrightunsigned(packed, 32) if half else packed
-    return word.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(half << 32)
+    return word.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints in prints that differ in 1 to 3 bits.
-    A pair can appear twice, once for each half."""
-    e = prints.select(F.col(fp).alias("fp"), _embed(F.col(fp)).alias("e"))
-    own = e.select("fp", "e", F.explode(F.array(_half(F.col("e"), 0), _half(F.col("e"), 1))).alias("cell"))
+def links(prints: DataFrame) -> DataFrame:
+    """prints: (node, fps), distinct. (a, b), a < b: all pairs of nodes with fingerprints of 3 or
+    fewer differing bits in some table. A pair can appear twice for each table, once for each half."""
+    one = prints.select("node", F.posexplode("fps").alias("t", "fp"))
+    e = one.select("node", "fp", F.shiftleft(F.col("t").cast("long"), 33).alias("t"), _embed(F.col("fp")).alias("e"))
+    cells = F.array(*(F.col("t") + F.lit(h << 32) + _half(F.col("e"), h) for h in (0, 1)))
+    own = e.select("node", "fp", F.explode(cells).alias("cell"))
     odd = own.where((F.bit_count(F.col("cell").bitwiseAND(F.lit(_FIELDS & 0xFFFFFFFF))) % 2) == 1)
     around = F.expr(
         "concat(transform(filter(sequence(0, 15), i -> (shiftright(cell, 2 * i) & 3) < 2), i -> cell + shiftleft(1L, 2 * i)),"
         " transform(filter(sequence(0, 15), i -> (shiftright(cell, 2 * i) & 3) > 0), i -> cell - shiftleft(1L, 2 * i)))")
-    visits = own.select("fp", "cell", F.lit(True).alias("home")).unionByName(
-        odd.select("fp", F.explode(around).alias("cell"), F.lit(False).alias("home")))
-    p, q = visits.alias("p"), own.select("fp", "cell").alias("q")
-    a, b = F.col("p.fp"), F.col("q.fp")
+    visits = own.select("node", "fp", "cell", F.lit(True).alias("home")).unionByName(
+        odd.select("node", "fp", F.explode(around).alias("cell"), F.lit(False).alias("home")))
+    p, q = visits.alias("p"), own.alias("q")
+    a, b, left, right = F.col("p.fp"), F.col("q.fp"), F.col("p.node"), F.col("q.node")
     near = (_manhattan(_embed(a), _embed(b)) <= MAX_DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE)
-    once = (F.col("p.home") & (a < b)) | (~F.col("p.home") & (a != b))
+    once = (F.col("p.home") & (left < right)) | (~F.col("p.home") & (left != right))
     pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & once & near)
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row of docs: xxhash64 of its text, its signed
-    fingerprint, the least fingerprint of its component, and the smallest doc_id that links of 3 or
-    fewer differing bits reach.
+    fingerprint (of the first table), a name of its component, and the smallest doc_id that links of
+    3 or fewer differing bits, in any table, reach.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any
     other. Repeated rows stay, each with the same answer. A null doc_id is never the smallest; a
     component of nothing else has null. No rows give no rows. Other columns are left out, so their
     names do not matter."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    rows = written(with_fingerprints(narrow, "text", "fp", shingle), "simhash")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    of = components(links(prints))
-    rooted = prints.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = with_fingerprints(narrow, "text", "fps", shingle, tables)
+    node = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
+    rows = written(rows.withColumn("node", node), "simhash")
+    prints = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fps").alias("fps")), "prints")
+    of = components(links(prints.select("node", "fps")))
+    rooted = prints.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = rooted.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(label, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    label = rooted.join(least, "root").select("node", "root", "component_id")
+    return rows.join(label, "node").select("doc_id", "th", F.col("fps")[0].alias("fp"), "root", "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id (null last), then the least
     fingerprint and text hash; of rows alike in all of these, any one."""
-    found = near_duplicates(docs, doc_id, text, shingle)
+    found = near_duplicates(docs, doc_id, text, shingle, tables)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "th")
     kept = found.groupBy("root").agg(F.min_by(F.struct(F.xxhash64("doc_id").alias("d"), "th"), order).alias("k"))
     d, th, kd, kth = fresh(docs, "d", "th", "kept_d", "kept_th")
