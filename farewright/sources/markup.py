@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,6 @@ def feed_items(feeds: DataFrame, as_of: Column, xml: str = "xml") -> DataFrame:
 
 def decode_pages(pages: DataFrame, content: str = "content", header: str = "content_type", fallback: str = "utf-8", out: str = "html") -> DataFrame:
     """Bytes to text by the header's charset, else the fallback; bad bytes become U+FFFD."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(body: pd.Series, charset: pd.Series) -> pd.Series:
         def one(b, c):

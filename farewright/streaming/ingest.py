@@ -60,8 +60,9 @@ def observe(posts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def limited(hits: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """hits: (key, at). (key, at, allowed, remaining): a window of some seconds for each key begins at
-    its first hit and ends when its reset time has passed; hits beyond the limit are refused. A stream
-    of hits in time order for each key; state is two numbers for a key and times out with the window."""
+    its first hit and ends when its reset time has passed; hits beyond the limit are refused. State is
+    two numbers for a key and goes when the watermark (two windows) has passed the reset time; hits
+    older than the watermark are dropped by Spark."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -78,9 +79,10 @@ def limited(hits: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
                 out.append((key[0], at, count <= limit, max(0, limit - count)))
             yield pd.DataFrame(out, columns=["key", "at", "allowed", "remaining"])
         state.update((count, reset))
-        state.setTimeoutDuration(seconds * 2000)
+        state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs()) + 1)
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, allowed boolean, remaining int", "count int, reset bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = hits.withWatermark("at", f"{2 * seconds} seconds")
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, allowed boolean, remaining int", "count int, reset bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooled(matches: DataFrame, hours: int = 24) -> DataFrame:
