@@ -21,8 +21,10 @@ SHARE, MOST_TIMES = 1.5, 2
 #: Words of a block, but a source has 2**20 blocks at most: beyond that its blocks get larger.
 BLOCK_WORDS = 1 << 14
 MAX_BLOCKS = 1 << 20
-#: The tree has 2**DEPTH leaves, the output shards.
-DEPTH = 6
+#: The tree has 2**depth leaves, the output shards, as many as the mix has this many words, so that
+#: a shard (which one task shuffles) does not grow with the input; but 2**LEAST_DEPTH at least.
+SHARD_WORDS = 1 << 23
+LEAST_DEPTH = 3
 #: The level from which the nodes of a deeper tree are spread over tasks.
 SPREAD_AT = 8
 SEED = "mix"
@@ -83,7 +85,7 @@ def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
                 'c', v.c + v.w * {up}, 'k', v.k + if({u} * (1 + z.a.z + z.b.z) >= v.c, 1L, 0L))).k))[0])[0])[0]"""
 
 
-def split_quotas(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
+def split_quotas(quotas: DataFrame, depth: int) -> DataFrame:
     """quotas: (sid, n). (shard, sid, n): how many of its blocks go to each of the 2**depth shards.
 
     Every node halves its number of blocks and draws the left half without replacement: source by
@@ -110,11 +112,13 @@ class Plan:
     draws: DataFrame
 
 
-def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, depth: int = DEPTH) -> Plan:
+def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, least_depth: int = LEAST_DEPTH) -> Plan:
     """rows: (doc_id, source, size)."""
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     sources = written(sources.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), n)).cast("long")), "sources")
+    total = sources.agg(F.sum("target")).first()[0] or 0
+    depth = max(least_depth, int(-(-total // shard_words) - 1).bit_length() if total > 0 else 0)
     blocks = placed(rows, sources).groupBy("sid", "block").agg(F.sum("size").alias("words"))
     ordered = blocks.join(_bounded(sources.select("sid", "source_size", "target")), "sid").withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     so_far = Window.partitionBy("sid", "pass").orderBy(_key("block", F.col("sid"), F.col("pass"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
