@@ -286,7 +286,7 @@ def test_stages_are_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {90001, 90002}
 
     data = sorted(kept.collect(), key=lambda r: r.doc_id)
-    prints = [[p & (2**64 - 1) for p in simhash_dedup.fingerprints(r.text.encode(), 5, 4)] for r in data]
+    prints = [[p & (2**64 - 1) for p in simhash_dedup.fingerprints(r.text.encode(), corpus_pipeline.SHINGLE, corpus_pipeline.TABLES)] for r in data]
     g = groups(len(data), lambda i, j: any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)))
     one = written(stages["near_duplicates"](spark, kept, SF), "t2")
     assert sorted(r.doc_id for r in one.collect()) == sorted(data[i].doc_id for i in set(g)) and one.columns == docs.columns
