@@ -34,14 +34,21 @@ def fold_batch(rows: DataFrame, order: list[str], latest: list[str], key: str =
     """One row for each key of a batch, as if its rows were merged one by one in order: sources in
     order of appearance, least price, earliest time, greatest signal, all else from the last row.
 
-    A key's rows meet in one array of (order, sources); sums of a batch, not of the store."""
+    Sources and URLs are first reduced to one row for each key and value (its first appearance), so
+    what meets in an array is the distinct values, not the rows of a busy key."""
     at = F.struct(*order)
     made = rows.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct(*order, "sources"))).alias("_s"), F.sort_array(F.collect_list(F.struct(*order, "source_urls"))).alias("_u"),
         F.min("price_krw").alias("price_krw"), F.min("posted_at").alias("posted_at"), F.max(signal_rank(F.col("social_signal"))).alias("_signal"),
         F.max_by(F.struct(*latest), at).alias("_last"))
-    union = lambda c, f: F.array_distinct(F.flatten(F.transform(c, lambda x: x[f])))
-    return made.select(key, union("_s", "sources").alias("sources"), union("_u", "source_urls").alias("source_urls"), "price_krw", "posted_at", _rank_to_signal(F.col("_signal")).alias("social_signal"), "_last.*")
+    named = lambda c: F.transform(c, lambda v, i: F.struct(F.lit(c).alias("kind"), i.alias("i"), v.alias("v")))
+    values = rows.select(key, *order, F.explode(F.concat(named("sources"), named("source_urls"))).alias("x")).select(key, *order, "x.kind", "x.i", "x.v")
+    first = values.groupBy(key, "kind", "v").agg(F.min(F.struct(*order, "i")).alias("first"))
+    kept = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == c, F.struct("first", "v")))), lambda x: x["v"])
+    unions = first.groupBy(key).agg(kept("sources").alias("sources"), kept("source_urls").alias("source_urls"))
+    none = F.array().cast("array<string>")
+    return made.join(unions, key, "left").select(
+        key, F.coalesce("sources", none).alias("sources"), F.coalesce("source_urls", none).alias("source_urls"), "price_krw", "posted_at",
+        _rank_to_signal(F.col("_signal")).alias("social_signal"), "_last.*")
 
 
 def upsert(stored: DataFrame, batch: DataFrame, latest: list[str], kept: list[str], key: str = "dedupe_key") -> DataFrame:
