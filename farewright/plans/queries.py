@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,16 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only for a local session that has none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="farewright-")
+    return path.rstrip("/")
+
+
 def _round(x: str, digits: int = 0) -> str:
     return f"floor(({x}) + 0.5)" if not digits else f"(floor(({x}) * CAST({10**digits} AS DOUBLE) + 0.5) / CAST({10**digits} AS DOUBLE))"
 
@@ -443,6 +454,24 @@ def m03_merge_upsert(spark, sf_dir):
     return out.withColumn("sources", F.array_join("sources", ",")).withColumn("n_urls", F.size("source_urls").cast("long")).drop("source_urls")
 
 
+@query(f"""WITH {DEALS}, {KEYED}, {FOLD.replace('(id % 2)', '0')}
+SELECT dedupe_key, array_to_string(list_filter(all_s, lambda x, i: list_position(all_s, x) = i), ',') AS sources, price_krw, posted_at,
+  CASE WHEN len(list_distinct(all_s)) >= 3 THEN 'hot' ELSE CASE sig WHEN 2 THEN 'hot' WHEN 1 THEN 'trending' END END AS social_signal, l[1] AS discount_rate, k[1] AS verification_status FROM f""")
+def t01_t07_stream_ingest(spark, sf_dir):
+    """All deals through a file stream, merged into a new store."""
+    import uuid
+
+    from farewright.streaming.ingest import KEPT as kept
+    from farewright.streaming.ingest import DealStore, ingest
+
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    posts = V.keyed_deals(spark, sf_dir).select("id", "dedupe_key", "sources", "source_urls", "price_krw", "posted_at", "social_signal", *LATEST, *kept)
+    posts.write.parquet(f"{base}/in")
+    store = DealStore(spark, f"{base}/store")
+    ingest(spark.readStream.schema(posts.schema).parquet(f"{base}/in"), store, f"{base}/cp").awaitTermination()
+    return store.read(0).select("dedupe_key", F.array_join("sources", ",").alias("sources"), "price_krw", "posted_at", "social_signal", "discount_rate", "verification_status")
+
+
 @query(f"WITH {DEALS} SELECT id, sha1(upper(trim(origin)) || '|' || upper(trim(destination)) || '|' || CAST(CAST(floor(greatest(0, price_krw) / 1000) * 1000 AS BIGINT) AS VARCHAR) || '|' || strftime(coalesce(CAST(depart_from AS TIMESTAMP), posted_at), '%Y-%m') || '|' || carrier_class) AS dedupe_key FROM deals")
 def m01_m02_dedupe_key(spark, sf_dir):
     month = text.representative_month(F.col("depart_from"), F.col("posted_at"))

@@ -39,7 +39,7 @@ class DealStore:
     def merge(self, rows: DataFrame, batch: int) -> None:
         new = fold_batch(rows, ["posted_at", "id"], LATEST + KEPT)
         old = self.before(batch)
-        out = new if old is None else upsert(old, new, LATEST, KEPT)
+        out = upsert(new.where("false") if old is None else old, new, LATEST, KEPT)
         out.write.mode("overwrite").parquet(self.version(batch))
 
     def read(self, batch: int) -> DataFrame:
