@@ -124,3 +124,14 @@ def mobile_preview(market: DataFrame, order: DataFrame, n: int = 3) -> DataFrame
     j = market.join(order, "destination")
     place = F.row_number().over(Window.partitionBy("origin").orderBy(F.asc_nulls_last("cheapest_today_krw"), "ord"))
     return j.withColumn("preview", place <= n)
+
+
+def home(deals: DataFrame, f: Filters, as_of: dt.datetime) -> DataFrame:
+    """The home page's deals: section, and frequency rank of each."""
+    shown = sections(hero(deals, f, as_of), picks(deals, f, as_of), deal_list(deals, f, as_of))
+    return shown.join(frequency(shown, deals, as_of), "id")
+
+
+def compare(chosen: DataFrame, market: DataFrame, n: int = 4) -> DataFrame:
+    """chosen: (ord, destination). The first n with their market rows, or without."""
+    return chosen.orderBy("ord").limit(n).join(market, "destination", "left")

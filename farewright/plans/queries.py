@@ -219,6 +219,29 @@ def c11_w01_frequency(spark, sf_dir):
     return serve.frequency(shown, d, AS_OF).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+@query(f"WITH {DEALS}, {HERO}, {PICKS}, {LISTED}, {SECTIONS}, {FREQ} SELECT {', '.join('s.' + c for c in SHOWN_COLUMNS)}, section, ordinal, count30d FROM sections s JOIN freq f ON s.id = f.id")
+def c10_home(spark, sf_dir):
+    return serve.home(V.deals(spark, sf_dir), filters.Filters(), AS_OF).select(*SHOWN_COLUMNS, "section", F.col("ordinal").cast("long").alias("ordinal"), "count30d")
+
+
+@query(f"""WITH {OBS}, {MARKET}, chosen(ord, destination) AS (VALUES (1, '2'), (2, '9'), (3, '0'), (4, '4'), (5, '1'))
+SELECT ord, c.destination, origin, p50_krw FROM chosen c LEFT JOIN (SELECT * FROM market WHERE origin = '1' AND carrier_class = 'fsc') m ON c.destination = m.destination WHERE ord <= 4""")
+def j10_compare(spark, sf_dir):
+    market = baseline.reaggregate(V.obs(spark, sf_dir), OBS_AS_OF).where("origin = '1' AND carrier_class = 'fsc'")
+    chosen = spark.createDataFrame(list(enumerate("29041", 1)), "ord int, destination string")
+    return serve.compare(chosen, market).select("ord", "destination", "origin", "p50_krw")
+
+
+@query(f"""WITH {DEALS} SELECT id, ['NRT', 'KIX', 'JFK', 'HNL', 'CTS', 'XYZ'][CAST(id % 6 AS INTEGER) + 1] AS representative, ['도쿄', 'ITM', 'EWR', 'KOA', '삿포로', 'xyz'][CAST(id % 6 AS INTEGER) + 1] AS city,
+  ['fsc', 'lcc', 'mixed', 'mixed'][CAST(id % 4 AS INTEGER) + 1] AS carrier_class FROM deals""")
+def j11_j12_x48_lookups(spark, sf_dir):
+    from farewright.functions.parsing import class_of
+
+    code = F.get(F.array(*map(F.lit, ("HND", "ITM", "EWR", "KOA", "CTS", "xyz"))), (F.col("id") % 6).cast("int"))
+    airline = F.get(F.array(F.lit("oz"), F.lit(" 7C "), F.lit("??"), F.lit(None)), (F.col("id") % 4).cast("int"))
+    return V.deals(spark, sf_dir).select("id", text.representative(code).alias("representative"), text.city_name(code).alias("city"), class_of(airline).alias("carrier_class"))
+
+
 @query(f"""WITH {DEALS}, {FREQ.replace('sections s', 'deals s')}, one AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY posted_at DESC, id) AS rn FROM deals WHERE posted_at >= {NOW} - INTERVAL 24 HOUR AND posted_at <= {NOW})
 SELECT id, destination, posted_at, kind, price_krw FROM (SELECT o.*, CASE WHEN hot_deal THEN 'hot' WHEN ordinal = 1 THEN 'first' WHEN verification_status = 'price_changed' THEN 'price_up' WHEN floor(discount_rate * 100 + 0.5) >= 20 THEN 'new' END AS kind
   FROM one o LEFT JOIN freq USING (id) WHERE rn = 1) WHERE kind IS NOT NULL ORDER BY posted_at DESC, id LIMIT 7""")
