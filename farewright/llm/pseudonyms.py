@@ -3,8 +3,9 @@
 Numbers and dates that pass the check of their kind (Luhn, mod 97, issued ranges, the calendar, an
 address's octets, a dialling plan, an address's shape) are replaced by a keyed permutation within
 the same format: a Feistel network over the digits, or over the rank in a range, walked until the
-value fits the format again. The same value gets the same pseudonym in every document; different
-values get different ones; with the key the step can be undone.
+value fits the format again. The same value gets the same pseudonym in every document, unless other
+digits next to it would make its pseudonym read as another value there: then it is permuted on.
+Different values get different ones; with the key the step can be undone.
 """
 
 from __future__ import annotations
@@ -30,16 +31,22 @@ IBAN_LENGTHS = {
     "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
+_SHAPES = {
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
+    "ip": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.[0-9A-Za-z])",
+    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?!-)",
+    "phone": r"(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})",
+    "card": r"\d(?:[ -]?\d){11,18}"}
 #: All kinds start where no letter or digit precedes; what only looks like one fails its check later.
 _PATTERN = re.compile(
-    r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:"
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})"
-    r"|(?<!\.)(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.[0-9A-Za-z])"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})"
-    r"|(?<!-)(?P<ssn>\d{3}-\d{2}-\d{4})(?!-)"
-    r"|(?<!\+)(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})"
-    r"|(?P<card>\d(?:[ -]?\d){11,18}))(?![A-Za-z0-9])")
+    r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:" + "|".join(f"(?P<{kind}>{shape})" for kind, shape in _SHAPES.items()) + r")(?![A-Za-z0-9])")
+#: The same for each kind alone; of some, a shorter reading can be right where the longest is not.
+_ALONE = {kind: re.compile(shape + r"(?![A-Za-z0-9])") for kind, shape in _SHAPES.items()}
+_SHORTER = ("iban", "phone", "card")
+#: No check but that of an e-mail's length reads further than this from where it starts.
+_REACH = 80
 #: Nothing can be found in a text without one of these.
 _HINT = re.compile(r"[@0-9]")
 
@@ -197,28 +204,94 @@ def pseudonym(kind: str, value: str, key: bytes, undo: bool = False) -> str | No
     return make(value, key, undo) if valid(value) else None
 
 
+def _readings(text: str, m: re.Match):
+    """(kind, end) of all that may start where m does, the longest of each kind first; m itself first
+    of all. Shorter ones end before a separator."""
+    start = m.start()
+    yield m.lastgroup, m.end()
+    for kind, shape in _ALONE.items():
+        if not (whole := shape.match(text, start)):
+            continue
+        yield kind, whole.end()
+        if kind in _SHORTER:
+            for end in range(whole.end() - 1, start + 9, -1):
+                if not text[end].isalnum() and text[end - 1].isalnum() and shape.fullmatch(text, start, end):
+                    yield kind, end
+    if m.lastgroup == "phone":
+        yield "card", m.end()
+
+
+def _next(text: str, look: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the first valid value from look on. A match that fails its check in all
+    readings is searched from its second character on; but the digits of an IBAN of its country's
+    length, whose check digits are wrong, are nothing else."""
+    while m := _PATTERN.search(text, look):
+        look = m.start() + 1
+        for kind, end in _readings(text, m):
+            value = text[m.start() : end]
+            if _KINDS[kind][0](value):
+                return kind, m.start(), end
+            if kind == "iban" and IBAN_LENGTHS.get(value[:2]) == len(value.replace(" ", "")):
+                look = end
+    return None
+
+
 def replace(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in code points of the new text (the
-    same as in the old: formats keep their length, but for addresses and unpadded dates)."""
-    out, found, at, size = [], [], 0, 0
+    same as in the old: formats keep their length, but for addresses and unpadded dates).
+
+    What is read as a value depends on what its neighbours read as, so a pseudonym must leave all
+    values near it where they were; one that would not is permuted again. Values are replaced from
+    the last to the first, and undone from the first to the last, so both see the same neighbours."""
     if not _HINT.search(text):
-        return text, found
-    for m in _PATTERN.finditer(text):
-        new = pseudonym(m.lastgroup, m[0], key, undo)
-        if new is None and m.lastgroup == "phone" and _is_card(m[0]):
-            new = pseudonym("card", m[0], key, undo)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            size += m.start() - at
-            found.append((m.lastgroup, size, size + len(new)))
-            size, at = size + len(new), m.end()
-    return "".join(out) + text[at:], found
+        return text, []
+    found, look = [], 0
+    while v := _next(text, look):
+        found.append(v)
+        look = v[2]
+    values = [text[a:b] for _, a, b in found]
+    ends = [0, *(b for *_, b in found)]
+    gaps = [text[e:a] for e, (_, a, _) in zip(ends, found)] + [text[ends[-1] :]]
+    for k in range(len(found)) if undo else reversed(range(len(found))):
+        kind, first = found[k][0], k
+        while first and sum(len(values[i]) + len(gaps[i + 1]) for i in range(first - 1, k)) < _REACH:
+            first -= 1
+        while True:
+            values[k] = pseudonym(kind, values[k], key, undo)
+            if _stays(found, values, gaps, first, k):
+                break
+    out, spans, size = [], [], 0
+    for (kind, *_), gap, value in zip(found, gaps, values):
+        out += [gap, value]
+        spans.append((kind, size + len(gap), size + len(gap) + len(value)))
+        size = spans[-1][2]
+    return "".join([*out, gaps[-1]]), spans
+
+
+def _stays(found: list, values: list[str], gaps: list[str], first: int, last: int) -> bool:
+    """Whether the values from first to last are read as they are, in what surrounds them."""
+    before = values[first - 1][-1:] if first else ""
+    parts, size, after = [before], 0, last
+    for i in range(first, last + 1):
+        parts += [gaps[i], values[i]]
+    while after + 1 < len(values) and size < _REACH:
+        parts += [gaps[after + 1], values[after + 1]]
+        size, after = size + len(parts[-1]) + len(parts[-2]), after + 1
+    if after + 1 == len(values):
+        parts.append(gaps[-1])
+    text, look = "".join(parts), len(before)
+    for i in range(first, last + 1):
+        start = look + len(gaps[i])
+        if _next(text, look) != (found[i][0], start, start + len(values[i])):
+            return False
+        look = start + len(values[i])
+    return True
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
     """docs with its text replaced, and a column pii: array of (kind, start, stop) of the pseudonyms.
 
-    Numbers that fail their check stay as they are. A null text stays null and an empty one empty,
+    Numbers that fail their check in every reading stay as they are. A null text stays null and an empty one empty,
     both with no pii. Repeated rows each get the same answer. pii takes another name if docs has a
     column of that name; other columns stay as they are."""
     (pii,) = fresh(docs, "pii")
