@@ -1,5 +1,7 @@
 """Public licence texts, and spellings that count as equal."""
 
+from importlib.resources import files
+
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
     "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
@@ -60,6 +62,10 @@ LICENSES = {
         "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
         "3. This notice may not be removed or altered from any source distribution."),
 }
+#: Long licences: each file of the folder licenses is one, under the file's name.
+LICENSES |= {
+    f.name.removesuffix(".txt"): f.read_text("utf-8")
+    for f in sorted((files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 #: Titles that a copy may carry above its text.
 TITLES = {
     "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
