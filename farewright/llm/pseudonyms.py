@@ -2,18 +2,24 @@
 
 Numbers and dates that pass the check of their kind (Luhn, mod 97, issued ranges, the calendar, an
 address's octets, a dialling plan, an address's shape) are replaced by a keyed permutation within
-the same format: a Feistel network over the digits, or over the rank in a range, walked until the
-value fits the format again. The same value gets the same pseudonym in every document, unless other
-digits next to it would make its pseudonym read as another value there: then it is permuted on.
-Different values get different ones; with the key the step can be undone.
+the same format: a Feistel network over the rank of the value, walked until it fits the format
+again, and then printed as the value was found. The same value gets the same pseudonym in every
+document and in every way of writing it (a date by numbers or by its month's name, an e-mail address
+in any case, a telephone number with or without its country's code), unless other digits next to it
+would make its pseudonym read as another value there: then it is permuted on. Different values get
+different ones; with the key the step can be undone.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +28,6 @@ from pyspark.sql import functions as F
 from farewright.llm.shared import fresh
 
 ROUNDS = 10
-KEY = b"change me"
 
 #: The lengths of IBANs by country, from the public registry.
 IBAN_LENGTHS = {
@@ -31,13 +36,20 @@ IBAN_LENGTHS = {
     "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
+#: English names of months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_MONTH = "(?:" + "|".join(case(n) for m in MONTHS for n in (m, m[:3]) for case in (str, str.upper, str.lower)) + ")"
+#: A local part has 64 characters and a label 63 at most, so a search reads no further from where it starts.
 _SHAPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
     "ip": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.[0-9A-Za-z])",
-    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})",
+    "ip6": r"(?<!:)(?:[0-9a-f]{1,4}:{1,2}|[0-9A-F]{1,4}:{1,2}){3,7}[0-9A-Fa-f]{1,4}(?!:)",
+    "date": (rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{1,2}}/\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|\d{{1,2}}-\d{{1,2}}-\d{{4}}"
+             rf"|\d{{1,2}}\.? {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})"),
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?!-)",
-    "phone": r"(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})",
+    "phone": (r"(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
+              r"|0\d{1,4}[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2})"),
     "card": r"\d(?:[ -]?\d){11,18}"}
 #: All kinds start where no letter or digit precedes; what only looks like one fails its check later.
 _PATTERN = re.compile(
@@ -58,7 +70,7 @@ def _round(key: bytes, tweak: str, number: int, value: int) -> int:
 def permute(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
     """A keyed permutation of range(size): an unbalanced Feistel network on a * b >= size, repeated
     (cycle walking) until the value is below size."""
-    a = max(1, int(size**0.5))
+    a = max(1, isqrt(size))
     b = -(-size // a)
     rounds = range(ROUNDS)
     while True:
@@ -125,29 +137,78 @@ def _is_ssn(t: str) -> bool:
     return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
 
 
-def _date_parts(t: str) -> tuple[dt.date, str] | None:
-    """The day and its format; of day/month and month/day the first that is a valid day."""
-    for form in ("%Y-%m-%d",) if t[4:5] == "-" else ("%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%m.%d.%Y"):
+def _is_ip6(t: str) -> bool:
+    """Written as addresses are printed (RFC 5952), in one case, not starting with a colon."""
+    try:
+        return str(ipaddress.IPv6Address(t)) == t.lower() and t in (t.lower(), t.upper()) and t[0] != ":" and any(c.isdigit() for c in t)
+    except ValueError:
+        return False
+
+
+def _ip6(t: str, key: bytes, undo: bool) -> str:
+    def step(t: str) -> str:
+        return str(ipaddress.IPv6Address(permute(int(ipaddress.IPv6Address(t)), 1 << 128, key, "ip6", undo)))
+
+    upper, shape = t != t.lower(), re.compile(_SHAPES["ip6"])
+    new = _walk(t, step, lambda x: _is_ip6(x) and shape.fullmatch(x) and (not upper or x != x.upper()))
+    return new.upper() if upper else new
+
+
+def _day(t: str) -> tuple[dt.date, str] | None:
+    """The day a text names, and which part of it (y, m, d) each of its fields is; of day/month and
+    month/day the first that is a valid day."""
+    fields = re.findall(r"\d+|[A-Za-z]+", t)
+    for roles in ("ymd", "dmy", "mdy"):
+        got = dict(zip(roles, fields, strict=True))
+        if len(got["y"]) != 4 or not got["y"].isdigit() or not got["d"].isdigit():
+            continue
+        month = int(got["m"]) if got["m"].isdigit() else [m[:3] for m in MONTHS].index(got["m"][:3].title()) + 1
         try:
-            day = dt.datetime.strptime(t, form).date()
+            day = dt.date(int(got["y"]), month, int(got["d"]))
         except ValueError:
             continue
-        return (day, form) if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
+        if FIRST_DAY <= day.toordinal() <= LAST_DAY:
+            return day, roles
     return None
 
 
+def _look(day: dt.date) -> tuple[int, bool]:
+    """What of a day decides how it can be written: digits of day and month, and whether the number of
+    the day can be that of a month."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
+@lru_cache(maxsize=1)
+def _days() -> dict[tuple[int, bool], list[int]]:
+    """All days of the range, by their look."""
+    out = defaultdict(list)
+    for n in range(FIRST_DAY, LAST_DAY + 1):
+        out[_look(dt.date.fromordinal(n))].append(n)
+    return out
+
+
 def _date(t: str, key: bytes, undo: bool) -> str:
-    """Permutes the day's rank in 1900 to 2099. Kept are the separator, whether the day comes first,
-    and whether numbers are padded."""
-    day, form = _date_parts(t)
-    padded = not re.search(r"(?<!\d)\d(?!\d)", t)
+    """Permutes the day's rank among the days of 1900 to 2099 with its look, so that every way of
+    writing the day can write its pseudonym. An abbreviated month does not become May, which has no
+    abbreviation."""
+    day, roles = _day(t)
+    short = re.search(r"(?<![A-Za-z])(?![Mm][Aa][Yy])[A-Za-z]{3}(?![A-Za-z])", t)
+    same = _days()[_look(day)]
     while True:
-        n = permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date{form}{padded}", undo)
-        day = dt.date.fromordinal(FIRST_DAY + n)
-        out = day.strftime(form)
-        out = out if padded else re.sub(r"(?<!\d)0(\d)(?!\d)", r"\1", out)
-        if _date_parts(out) == (day, form) and padded == (not re.search(r"(?<!\d)\d(?!\d)", out)):
-            return out
+        n = permute(bisect_left(same, day.toordinal()), len(same), key, f"date{_look(day)}", undo)
+        day = dt.date.fromordinal(same[n])
+        if not (short and day.month == 5):
+            break
+    left = iter(roles)
+
+    def field(m: re.Match) -> str:
+        old, new = m[0], {"y": day.year, "m": day.month, "d": day.day}[next(left)]
+        if old.isdigit():
+            return str(new).zfill(len(old))
+        name = MONTHS[new - 1][: 3 if short else None]
+        return name.upper() if old.isupper() else name.lower() if old.islower() else name
+
+    return re.sub(r"\d+|[A-Za-z]+", field, t)
 
 
 def _is_iban(t: str) -> bool:
@@ -165,34 +226,38 @@ def _iban(t: str, key: bytes, undo: bool) -> str:
 
 
 def _is_phone(t: str) -> bool:
-    return 10 <= len(re.sub(r"\D", "", t)) <= 15
+    return (9 if t[0] == "0" else 10) <= len(re.sub(r"\D", "", t)) <= 15
 
 
 def _phone(t: str, key: bytes, undo: bool) -> str:
-    """A country code stays; the digits after it are permuted."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{2}|", t)[0]
-    return code + _digits(t[len(code) :], key, "phone" + code, undo)
+    """A country code, or the 0 that stands for it, stays; the digits after it are permuted."""
+    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{2}|0|", t)[0]
+    zero = lambda x: re.search(r"\d", x)[0] == "0"
+    return code + _walk(t[len(code) :], lambda x: _digits(x, key, "phone", undo), lambda x: zero(x) == zero(t[len(code) :]))
 
 
 def _email(t: str, key: bytes, undo: bool) -> str:
-    """Letters and digits before the @ are permuted as numbers of their own alphabets; the domain stays."""
+    """Letters and digits before the @ are permuted as numbers of their own alphabets, letters keeping
+    the case they are found in; the domain stays."""
     local, domain = t.split("@")
     sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in local]
-    first = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isalpha() else c for c in local]
+    first = ["0" if c.isdigit() else "a" if c.isalpha() else c for c in local]
     rank, size = 0, 1
-    for c, f, n in zip(local, first, sizes, strict=True):
+    for c, f, n in zip(local.lower(), first, sizes, strict=True):
         rank, size = rank * n + ord(c) - ord(f), size * n
     rank = permute(rank, size, key, "email" + "".join(first) + "@" + domain.lower(), undo)
     out = []
-    for f, n in zip(reversed(first), reversed(sizes), strict=True):
+    for old, f, n in zip(reversed(local), reversed(first), reversed(sizes), strict=True):
         rank, c = divmod(rank, n)
-        out.append(chr(ord(f) + c))
+        new = chr(ord(f) + c)
+        out.append(new.upper() if old.isupper() else new)
     return "".join(reversed(out)) + "@" + domain
 
 
 #: kind: (check, pseudonym). Checked in the order of the pattern.
 _KINDS = {
-    "email": (lambda t: len(t) <= 254, _email), "iban": (_is_iban, _iban), "ip": (_is_ip, _ip), "date": (lambda t: _date_parts(t) is not None, _date),
+    "email": (lambda t: len(t) <= 254, _email), "iban": (_is_iban, _iban), "ip": (_is_ip, _ip), "ip6": (_is_ip6, _ip6),
+    "date": (lambda t: _day(t) is not None, _date),
     "ssn": (_is_ssn, lambda t, key, undo: _walk(t, lambda x: _digits(x, key, "ssn", undo), _is_ssn)),
     "phone": (_is_phone, _phone), "card": (_is_card, _card)}
 
@@ -236,7 +301,7 @@ def _next(text: str, look: int) -> tuple[str, int, int] | None:
     return None
 
 
-def replace(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, key: bytes, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in code points of the new text (the
     same as in the old: formats keep their length, but for addresses and unpadded dates).
 
@@ -288,8 +353,9 @@ def _stays(found: list, values: list[str], gaps: list[str], first: int, last: in
     return True
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", undo: bool = False) -> DataFrame:
     """docs with its text replaced, and a column pii: array of (kind, start, stop) of the pseudonyms.
+    key: 1 to 64 secret bytes.
 
     Numbers that fail their check in every reading stay as they are. A null text stays null and an empty one empty,
     both with no pii. Repeated rows each get the same answer. pii takes another name if docs has a

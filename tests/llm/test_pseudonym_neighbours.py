@@ -7,6 +7,7 @@ import pytest
 from farewright.llm import pseudonyms
 
 IBAN = "DE89 3704 0044 0532 0130 00"
+KEY = b"secret"
 
 
 @pytest.mark.parametrize("text, values", [
@@ -19,9 +20,9 @@ IBAN = "DE89 3704 0044 0532 0130 00"
     (f"{IBAN} 2024-01-31", [IBAN, "2024-01-31"]),
     (f"{IBAN} 4111 1111 1111 1111 123 10.1.2.3", [IBAN, "4111 1111 1111 1111", "10.1.2.3"])])
 def test_neighbours(text, values):
-    new, found = pseudonyms.replace(text)
+    new, found = pseudonyms.replace(text, KEY)
     assert len(found) == len(values) and not any(v in new for v in values)
-    assert pseudonyms.replace(new, undo=True)[0] == text
+    assert pseudonyms.replace(new, KEY, undo=True)[0] == text
 
 
 def test_undo_among_digits():
@@ -30,6 +31,6 @@ def test_undo_among_digits():
     parts = ["4111 1111 1111 1111", "4111111111111111", IBAN, "192.168.1.10", "1.2.2003", "2024-01-31", "123-45-6789", "+1 (017) 555-7713", "378282246310005", "5555-5555-5555-4444"]
     for _ in range(1500):
         text = " ".join(r.choice([*parts, str(r.randrange(10 ** r.randrange(1, 7)))]) for _ in range(r.randrange(1, 9)))
-        new, found = pseudonyms.replace(text)
-        assert [k for k, *_ in pseudonyms.replace(new)[1]] == [k for k, *_ in found], text
-        assert pseudonyms.replace(new, undo=True)[0] == text, (text, new)
+        new, found = pseudonyms.replace(text, KEY)
+        assert [k for k, *_ in pseudonyms.replace(new, KEY)[1]] == [k for k, *_ in found], text
+        assert pseudonyms.replace(new, KEY, undo=True)[0] == text, (text, new)

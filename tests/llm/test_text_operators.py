@@ -111,14 +111,17 @@ def test_no_rules_or_pages(spark):
 PII = "mail a.b7@mail.example.com card 4845168114407329, ip 97.51.17.173. born 1984-02-29 or 1.2.2003, ssn 123-45-6789, +1 (017) 555-7713, DE89 3704 0044 0532 0130 00"
 
 
+KEY = b"secret"
+
+
 def test_pseudonyms():
-    new, found = pseudonyms.replace(PII)
+    new, found = pseudonyms.replace(PII, KEY)
     assert sorted(k for k, *_ in found) == sorted(["email", "card", "ip", "date", "date", "ssn", "phone", "iban"])
-    assert pseudonyms.replace(new, undo=True)[0] == PII != new
-    assert pseudonyms.replace(PII, key=b"other")[0] != new
-    assert pseudonyms.replace(new)[1], "a pseudonym is valid in its own format"
+    assert pseudonyms.replace(new, KEY, undo=True)[0] == PII != new
+    assert pseudonyms.replace(PII, b"other")[0] != new
+    assert pseudonyms.replace(new, KEY)[1], "a pseudonym is valid in its own format"
     for bad in ("4845168114407328", "256.1.1.1", "1984-02-30", "000-12-3456", "DE89 3704 0044 0532 0130 01", "v1.2.3.4.5", "12345", "a@b", "2020-1-1"):
-        assert pseudonyms.replace(bad) == (bad, []), bad
+        assert pseudonyms.replace(bad, KEY) == (bad, []), bad
 
 
 @settings(max_examples=40, deadline=None)
@@ -131,7 +134,7 @@ def test_permutation(size, key):
 
 def test_pseudonym_rows(spark):
     docs = edge(spark).unionByName(spark.createDataFrame([(50, PII, None, None, None), (51, "again 97.51.17.173", None, None, None)], edge(spark).schema)).withColumn("pii", F.lit(3))
-    got = pseudonyms.pseudonymise(docs)
+    got = pseudonyms.pseudonymise(docs, KEY)
     assert got.columns == [*docs.columns, "_pii"] and got.count() == docs.count()
     by = {r.doc_id: r for r in got.where("doc_id in (3, 4, 6, 50, 51)").collect()}
     assert by[3].text is None and by[4].text == "" and by[6].text == LONG and by[50].pii == 3
@@ -139,7 +142,7 @@ def test_pseudonym_rows(spark):
     assert by[51].text == f"again {ip}", "equal values stay linked"
     a, b = by[51]["_pii"][0].start, by[51]["_pii"][0].stop
     assert by[51].text[a:b] == ip
-    assert pseudonyms.pseudonymise(empty(spark)).count() == 0
+    assert pseudonyms.pseudonymise(empty(spark), KEY).count() == 0
 
 
 # --- media
