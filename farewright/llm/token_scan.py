@@ -10,10 +10,13 @@ blocks cut it.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,30 +32,54 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_DOCUMENT = 50256
-MAX_VOCABULARY_BYTES = 64 << 20
-#: Raw files are read whole before they are cut, so longer ones are refused; split them first.
-MAX_FILE_BYTES = 1 << 30
+#: Raw files are dealt to tasks by so many bytes.
+TASK_BYTES = 128 << 20
+#: Runs of white space (the property, as fixed values) of so many characters are cut off before the
+#: tokenizer sees them: its look-ahead would need a stack as deep as the run is long.
+LONG_SPACE = 1 << 14
+_SPACE = "[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG = re.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_SPACE},}}")
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks: bytes):
+def _encoder(ranks: bytes):
+    """The function from a text to its token ids."""
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    words = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    one = tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        """As the pattern splits a run of white space: its last character goes with what follows, the
+        others are one piece; all of it is, at the end of the text."""
+        if len(text) < LONG_SPACE:
+            return words(text)
+        out, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += words(text[at : run.start()])
+            out += one(text[run.start() : end])
+            at = end
+        return out + words(text[at:])
+
+    return encode
 
 
 def write_flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER,
                eod: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2") -> DataFrame:
     """Tokenises whole texts into one flat file for each partition, written to the shared folder.
     Returns its table: block rows (file, seq, payload) and manifest rows (file, seq, ids), the ids
-    of the file's documents in order. A null or empty text is a document of no tokens."""
+    of the file's documents in order. A null or empty text is a document of no tokens.
+
+    The vocabulary goes to every task; it has a row for each id, and ids have to fit dtype (65,536 of
+    them for two bytes)."""
     import uuid
 
     with open(tokenizer, "rb") as f:
-        ranks = f.read(MAX_VOCABULARY_BYTES + 1)
-    if len(ranks) > MAX_VOCABULARY_BYTES:
-        raise ValueError("the vocabulary is too large to send to every task")
+        ranks = f.read()
+    if max(eod, ranks.count(b"\n")) > np.iinfo(dtype).max:
+        raise ValueError(f"ids of the vocabulary do not fit {dtype}")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([
@@ -63,7 +90,7 @@ def write_flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, file, encode = to_arrow_schema(schema), TaskContext.get().partitionId(), _encoding(sent.value).encode_ordinary
+        arrow, file, encode = to_arrow_schema(schema), TaskContext.get().partitionId(), _encoder(sent.value)
         ids, parts, held, n_blocks, n_lists = [], [], 0, 0, 0
 
         def row(seq, payload, own):
@@ -99,15 +126,32 @@ def blocks_of(flat: DataFrame) -> DataFrame:
     return flat.where("payload is not null").select("file", "seq", "payload")
 
 
-def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2", max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Raw flat files of other makers, cut into blocks (file, seq, payload)."""
-    files = spark.read.format("binaryFile").load(path)
-    long = files.where(F.col("length") > max_file_bytes).select("path").first()
-    if long:
-        raise ValueError(f"{long['path']} is longer than {max_file_bytes} bytes")
+def _opened(uri: str):
+    """A file for random reads, by whatever store its address names."""
+    if urlsplit(uri).scheme in ("", "file"):
+        return pyarrow.fs.LocalFileSystem().open_input_file(unquote(urlsplit(uri).path))
+    store, path = pyarrow.fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Raw flat files of other makers, cut into blocks (file, seq, payload). Spark lists the files;
+    tasks read ranges of them, so a file of any length spreads over tasks and none is held whole.
+    Tasks need a store that pyarrow.fs can open (local, HDFS, S3, GCS)."""
     size = block_tokens * np.dtype(dtype).itemsize
-    cut = files.where("length > 0").select("path", "content", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("seq"))
-    return cut.select(F.col("path").alias("file"), "seq", F.expr(f"substring(content, cast(seq * {size} + 1 as int), {size})").alias("payload"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")
+    cut = files.select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("seq"))
+    total = files.agg(F.sum("length")).first()[0] or 0
+
+    def run(batches):
+        for batch in batches:
+            for file, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(file) as f:
+                    payload = f.read_at(min(size, f.size() - seq * size), seq * size)
+                yield pa.RecordBatch.from_pydict({"file": [file], "seq": pa.array([seq], pa.int64()), "payload": pa.array([payload], pa.binary())})
+
+    dealt = cut.select("file", "seq").repartition(max(1, -(-total // task_bytes)))
+    return dealt.mapInArrow(run, "file string, seq bigint, payload binary")
 
 
 def find_separators(blocks: DataFrame, eod: int = END_OF_DOCUMENT, dtype: str = "<u2") -> DataFrame:

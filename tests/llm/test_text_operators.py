@@ -213,7 +213,7 @@ def test_token_counts(spark, block, monkeypatch):
     flat = token_scan.write_flat(docs, block_tokens=block)
     got = token_scan.named(token_scan.documents(written(token_scan.find_separators(token_scan.blocks_of(flat)), "s")), flat)
     with open(token_scan.TOKENIZER, "rb") as f:
-        encode = token_scan._encoding(f.read()).encode_ordinary
+        encode = token_scan._encoder(f.read())
     assert rows(got, "doc_id", "n_tokens") == sorted(f"Row(doc_id={r.doc_id}, n_tokens={len(encode(r.text or ''))})" for r in docs.collect())
     assert token_scan.documents(written(token_scan.find_separators(token_scan.blocks_of(token_scan.write_flat(empty(spark)))), "s")).count() == 0
 
@@ -230,8 +230,53 @@ def test_raw_files(spark, tmp_path, monkeypatch):
         tokens.tofile(tmp_path / name)
         ends = [-1, *np.flatnonzero(tokens == 7)]
         want += [(name, i, b - a - 1, True) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))] + [(name, len(ends) - 1, 999 - ends[-1], False)]
-    blocks = token_scan.read_flat_files(spark, str(tmp_path), block_tokens=37)
+    blocks = token_scan.read_flat_files(spark, str(tmp_path), block_tokens=37, task_bytes=300)
+    assert blocks.rdd.getNumPartitions() == 14
     got = token_scan.documents(written(token_scan.find_separators(blocks, eod=7), "raw")).collect()
     assert sorted((r.file[-1], r.ordinal, r.n_tokens, r.ended) for r in got) == sorted((a, b, int(c), d) for a, b, c, d in want)
-    with pytest.raises(ValueError):
-        token_scan.read_flat_files(spark, str(tmp_path), max_file_bytes=100)
+
+
+def test_raw_file_of_many_tasks(spark, tmp_path):
+    """Longer than what was once refused."""
+    size = (1 << 30) + 6
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate(size)
+        for at in (0, 1 << 29, size - 2):
+            f.seek(at)
+            f.write(b"\x07\x00")
+    found = written(token_scan.find_separators(token_scan.read_flat_files(spark, str(tmp_path)), eod=7), "long")
+    got = token_scan.documents(found).orderBy("ordinal").collect()
+    assert [(r.start, r.n_tokens, r.ended) for r in got] == [(0, 0, True), (1, (1 << 28) - 1, True), ((1 << 28) + 1, (1 << 28) + 1, True)]
+
+
+def plain_encode():
+    import base64
+
+    import tiktoken
+
+    with open(token_scan.TOKENIZER, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    return tiktoken.Encoding("plain", pat_str=token_scan.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u2003 ", " \n\r\n", "\x85", "\u3000"])
+def test_long_white_space(space):
+    with open(token_scan.TOKENIZER, "rb") as f:
+        encode = token_scan._encoder(f.read())
+    plain, n = plain_encode(), token_scan.LONG_SPACE
+    for k in (n - 1, n, n + 1, 100_001):
+        run = (space * k)[:k]
+        for text in (run, "a" + run, run + "b", f"a{run}b", f"a {run}'s{run}!", f"{run}\x1c{run}é", f"1{run}2{run} 3{run} "):
+            assert encode(text) == plain(text), (k, text[:3])
+
+
+def test_texts_that_stopped_a_job(spark):
+    n = 5_000_000
+    texts = [" " * n, "\n" * n, f"a{' ' * n}b", "\t\n " * (n // 3), "x" * n]
+    flat = token_scan.write_flat(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = token_scan.named(token_scan.documents(written(token_scan.find_separators(token_scan.blocks_of(flat)), "s")), flat)
+    counts = {r.doc_id: r.n_tokens for r in got.collect()}
+    plain = plain_encode()
+    want = {0: n, 1: n // 2, 2: n + 1}
+    assert {k: counts[k] for k in want} == want
+    assert len(counts) == 5 and abs(counts[4] - n / 500_000 * len(plain("x" * 500_000))) <= 10
