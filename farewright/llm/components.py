@@ -28,20 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: two columns of one type, any order, repeats and self links allowed.
     Returns (node, root) for each node of a link between two different nodes; root is the least
-    node of its component. Each round is written to the shared folder."""
+    node of its component. Each round is written to the shared folder; rounds go on until nothing
+    changes, which takes about the logarithm of the longest path."""
     a, b = links.columns
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     state = None
-    for _ in range(max_rounds):
+    while True:
         edges = written(_star(_star(edges, True), False), "edges")
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now := (row["n"], row["h"])) == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

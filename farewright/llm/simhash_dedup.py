@@ -2,15 +2,18 @@
 
 Links are found in an embedding: a fingerprint becomes the vector of bit counts of its 32 two-bit
 segments. The Manhattan distance of two such vectors never exceeds the Hamming distance of the
-fingerprints. Of two vectors within distance 3, one half of 16 segments is within distance 1, so a
-grid whose cells are the vectors of one half needs only a cell and its direct neighbours. The
-distance of cells at distance 1 changes the parity of their sum; so only odd vectors visit their
-neighbours. What meets in a cell is tested by the Manhattan bound, then by Hamming distance.
+fingerprints. The segments are eight groups of four. Of two vectors within distance 3, at most three
+groups are apart, so five are in the same place: a grid with a cell for each choice of five groups
+and their counts brings all such pairs together. What meets in a cell is tested by the Manhattan
+bound, then by Hamming distance. Two unrelated fingerprints share a cell with a chance of
+56 * (3/8)**20 = 1.7e-7.
+
+Only distinct fingerprints enter the grid, however many documents have them.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,30 +85,22 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(odd)))
 
 
-def _half(packed: Column, half: int) -> Column:
-    word = F.shiftrightunsigned(packed, 32) if half else packed
-    return word.bitwiseAND(F.lit(0xFFFFFFFF))
+#: For each choice of five groups, the fields of these groups.
+_CELLS = [sum(0xFF << 8 * g for g in five) for five in combinations(range(8), 5)]
+_CELLS = [c - (1 << 64) if c >> 63 else c for c in _CELLS]
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """prints: (node, fps), distinct. (a, b), a < b: all pairs of nodes with fingerprints of 3 or
-    fewer differing bits in some table. A pair can appear twice for each table, once for each half."""
-    one = prints.select("node", F.posexplode("fps").alias("t", "fp"))
-    e = one.select("node", "fp", F.shiftleft(F.col("t").cast("long"), 33).alias("t"), _embed(F.col("fp")).alias("e"))
-    cells = F.array(*(F.col("t") + F.lit(h << 32) + _half(F.col("e"), h) for h in (0, 1)))
-    own = e.select("node", "fp", F.explode(cells).alias("cell"))
-    odd = own.where((F.bit_count(F.col("cell").bitwiseAND(F.lit(_FIELDS & 0xFFFFFFFF))) % 2) == 1)
-    around = F.expr(
-        "concat(transform(filter(sequence(0, 15), i -> (shiftright(cell, 2 * i) & 3) < 2), i -> cell + shiftleft(1L, 2 * i)),"
-        " transform(filter(sequence(0, 15), i -> (shiftright(cell, 2 * i) & 3) > 0), i -> cell - shiftleft(1L, 2 * i)))")
-    visits = own.select("node", "fp", "cell", F.lit(True).alias("home")).unionByName(
-        odd.select("node", "fp", F.explode(around).alias("cell"), F.lit(False).alias("home")))
-    p, q = visits.alias("p"), own.alias("q")
-    a, b, left, right = F.col("p.fp"), F.col("q.fp"), F.col("p.node"), F.col("q.node")
+    """prints: (t, fp), distinct. (t, a, b), a < b: all pairs of fingerprints of a table with 3 or fewer
+    differing bits, each once."""
+    e = prints.select("t", "fp", _embed(F.col("fp")).alias("e"))
+    cells = F.array(*(F.xxhash64(F.lit(i), "t", F.col("e").bitwiseAND(F.lit(c))) for i, c in enumerate(_CELLS)))
+    visits = e.select("t", "fp", F.explode(cells).alias("cell"))
+    p, q = visits.alias("p"), visits.alias("q")
+    a, b = F.col("p.fp"), F.col("q.fp")
     near = (_manhattan(_embed(a), _embed(b)) <= MAX_DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE)
-    once = (F.col("p.home") & (left < right)) | (~F.col("p.home") & (left != right))
-    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & once & near)
-    return pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (a < b) & near)
+    return pairs.select("p.t", a.alias("a"), b.alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
@@ -116,17 +111,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any
     other. Repeated rows stay, each with the same answer. A null doc_id is never the smallest; a
     component of nothing else has null. No rows give no rows. Other columns are left out, so their
-    names do not matter."""
+    names do not matter.
+
+    Nodes are the fingerprints of the first table; those of a document in other tables are tied to
+    it by one link each, so a group of copies costs links in the number of its fingerprints."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    rows = with_fingerprints(narrow, "text", "fps", shingle, tables)
-    node = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
-    rows = written(rows.withColumn("node", node), "simhash")
-    prints = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fps").alias("fps")), "prints")
-    of = components(links(prints.select("node", "fps")))
-    rooted = prints.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = rooted.join(least, "root").select("node", "root", "component_id")
-    return rows.join(label, "node").select("doc_id", "th", F.col("fps")[0].alias("fp"), "root", "component_id")
+    rows = written(with_fingerprints(narrow, "text", "fps", shingle, tables).withColumn("fp", F.col("fps")[0]), "simhash")
+    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    if tables == 1:
+        of = components(links(firsts.select(F.lit(0).alias("t"), "fp")).select("a", "b"))
+    else:
+        node = lambda t, fp: F.struct(F.lit(t).alias("t") if isinstance(t, int) else F.col(t).alias("t"), F.col(fp).alias("fp"))
+        each = written(rows.select("fp", F.posexplode("fps").alias("t", "own")).distinct(), "tables")
+        near = links(each.select("t", F.col("own").alias("fp")).distinct())
+        ties = each.where("t > 0").select(node(0, "fp").alias("a"), node("t", "own").alias("b"))
+        of = components(near.select(node("t", "a").alias("a"), node("t", "b").alias("b")).unionByName(ties))
+        of = of.where("node.t = 0").select(F.col("node.fp").alias("node"), F.xxhash64("root").alias("root"))
+    named = firsts.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", F.col("fp") if tables == 1 else F.xxhash64(node(0, "fp"))).alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(label, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
