@@ -53,7 +53,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], table.schema)
     messages = table.unionByName(probe).withColumn("parts", chat_format.text_parts(F.col("text")))
-    return chat_format.read_back(chat_format.format_turns(messages)).drop("attachments", "expanded_tokens")
+    return chat_format.read_back(chat_format.format_turns(messages))
 
 
 OP2_SQL = r"""
@@ -66,7 +66,8 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   CAST(sum(length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
-    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM turns GROUP BY conv_id
 """
 
@@ -136,7 +137,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5(coalesce(text, '')), 1, 8) AS salt FROM documents),
 ranked AS (
   SELECT source, source_size, 2 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS sid
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source)),
@@ -147,10 +148,10 @@ rated AS (
   FROM weighed WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sources AS (
   SELECT source, sid, source_size, least(max(CASE WHEN rate * weight <= cap THEN rate END) OVER () * weight, CAST(cap AS DOUBLE)) AS target,
-    greatest(1, least(1048576, CAST(ceil(source_size / 16384.0) AS BIGINT))) AS blocks FROM rated),
+    greatest(1, CAST(ceil(source_size / 16384.0) AS BIGINT)) AS blocks FROM rated),
 placed AS (
   SELECT r.*, s.sid, source_size, target,
-    CAST('0x' || substr(md5('mix|doc|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % blocks AS block
+    CAST('0x' || substr(md5('mix|doc|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || salt), 1, 8) AS BIGINT) % blocks AS block
   FROM rows r JOIN sources s ON r.source IS NOT DISTINCT FROM s.source),
 blocks AS (SELECT sid, block, source_size, target, sum(size) AS words FROM placed GROUP BY ALL),
 ordered AS (
@@ -158,7 +159,7 @@ ordered AS (
     PARTITION BY sid, p ORDER BY md5('mix|block|' || sid || '|' || p || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
   FROM blocks, (SELECT unnest([0, 1]) AS p)),
 upto AS (
-  SELECT *, sum(size) OVER (PARTITION BY sid, block, p ORDER BY md5('mix|row|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || p), size
+  SELECT *, sum(size) OVER (PARTITION BY sid, block, p ORDER BY md5('mix|row|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || salt || '|' || p), size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
   FROM (SELECT row_number() OVER () AS r, * FROM placed), (SELECT unnest([0, 1]) AS p))
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
