@@ -22,21 +22,26 @@ BUCKETS = 1 << 16
 ROUNDS = 12
 #: Added to each count of a trigram.
 SMOOTHING = 0.5
-#: More labels than this are refused: the model, BUCKETS floats for each, goes to every task.
+#: More labels than this are refused, before anything is counted: the model, BUCKETS floats for each,
+#: goes to every task.
 MAX_LANGUAGES = 256
+#: Labels whose counts a task holds at once.
+HELD = 32
 #: Bytes whose trigrams are taken at once, which bounds the memory for one very long text.
 CHUNK = 1 << 20
 #: Trigrams are taken within words only; the bytes of everything but letters count as a space.
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _BREAK = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 UNDETERMINED = "und"
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of the byte trigrams of a text's lower-cased words, with a space on each
     side; both empty if there is no letter."""
-    counts = None
-    for start in range(0, len(text), CHUNK):
-        words = _WORD.findall(text[start : start + CHUNK].lower())
+    counts, stop = None, 0
+    while stop < len(text):
+        start, cut = stop, _BREAK.search(text, stop + CHUNK)
+        stop = cut.start() if cut else len(text)
+        words = _WORD.findall(text[start:stop].lower())
         if not any(map(str.isalpha, words)) and not any(map(str.isalpha, "".join(words))):
             continue
         b = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8).astype(np.uint32)
@@ -59,7 +64,13 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts trigrams over all labelled texts; rows with a null text or label teach nothing. Only
-    sums by language and bucket leave the tasks: one task's are at most BUCKETS for each language."""
+    sums by language and bucket leave the tasks: one task's are at most BUCKETS for each language. The
+    driver takes one language at a time, of at most BUCKETS rows."""
+
+    def sums_of(total: dict[str, np.ndarray]):
+        for label, n in total.items():
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([label] * len(used), pa.string()), "bucket": pa.array(used, pa.int32()), "n": pa.array(n[used], pa.int64())})
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -67,22 +78,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 used, n = trigrams(t)
                 if label not in total:
+                    if len(total) == HELD:
+                        yield from sums_of(total)
+                        total = {}
                     total[label] = np.zeros(BUCKETS, np.int64)
                 total[label][used] += n.astype(np.int64)
-        for label, n in total.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([label] * (len(used) + 1)), "bucket": pa.array(np.r_[-1, used], pa.int32()), "n": pa.array(np.r_[0, n[used]], pa.int64())})
+        yield from sums_of(total)
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    sums = written(sums, "trigrams")
-    names = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sums = written(rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     n = np.full((len(names), BUCKETS), SMOOTHING)
     at = {name: i for i, name in enumerate(names)}
-    got = sums.where("bucket >= 0").toPandas()
-    n[got["lang"].map(at).to_numpy(int), got["bucket"].to_numpy()] += got["n"].to_numpy()
+    for name in names:
+        got = sums.where(F.col("lang") == name).select("bucket", "n").toArrow()
+        n[at[name], got["bucket"].to_numpy()] += got["n"].to_numpy()
     return Model(names, n / n.sum(axis=1, keepdims=True))
 
 
@@ -99,47 +111,61 @@ def mixture(model: Model, text: str | None, penalty: float = 1.0) -> tuple[list[
 
     Each language costs penalty times the log of the number of trigrams, and none enters that would
     hold less than a hundredth of the text."""
+    return fitted(model, text, penalty)[:2]
+
+
+def fitted(model: Model, text: str | None, penalty: float = 1.0) -> tuple[list[int], np.ndarray, float]:
+    """mixture's answer, and its mean log-likelihood of a trigram less that of the uniform distribution.
+
+    The likelihood is concave in the proportions, so its slope at the best single language bounds
+    what any other language could gain; where that is within the penalty, no other is tried."""
     used, counts = trigrams(text or "")
     if not len(used) or not model.languages:
-        return [], np.zeros(0)
+        return [], np.zeros(0), 0.0
     p = model.p[:, used]
-    order = np.argsort(-proportions(p, counts)[0], kind="stable")
     alone = np.log(p) @ counts
     best = [int(np.argmax(alone))]
-    share, reached, cost = np.ones(1), float(alone[best[0]]), penalty * np.log(counts.sum() + 1)
+    total = counts.sum()
+    share, reached, cost = np.ones(1), float(alone[best[0]]), penalty * np.log(total + 1)
+    order = []
+    if float((p @ (counts / p[best[0]])).max()) - total > cost:
+        order = np.argsort(-proportions(p, counts)[0], kind="stable")
     for k in (int(k) for k in order if k != best[0]):
         tried, likelihood = proportions(p[[*best, k]], counts)
         if likelihood - reached <= cost or tried[-1] < 0.01:
             break
         best, share, reached = [*best, k], tried, likelihood
     rank = np.argsort(-share, kind="stable")
-    return [best[i] for i in rank], share[rank]
+    return [best[i] for i in rank], share[rank], reached / total + float(np.log(BUCKETS))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and three columns: lang_pred, the language with the largest proportion; score, that
-    proportion (0 to 1); langs, all chosen languages with their proportions.
+    """docs and four columns: lang_pred, the language with the largest proportion; score, that
+    proportion (0 to 1); langs, all chosen languages with their proportions; lang_fit, how much better
+    they explain a trigram than the uniform distribution does (in nats; below 0 the text is in none of
+    the learned languages).
 
-    A null or empty text, or one without a letter, gets lang_pred und, score 0 and no langs; so does
+    A null or empty text, or one without a letter, gets lang_pred und, score 0, fit 0 and no langs; so does
     every text if nothing was learned. Repeated rows each get the same answer; added columns take
     other names if docs has columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    pred, score, langs, extra = fresh(docs, "lang_pred", "score", "langs", "whole_text")
+    pred, score, langs, fit_, extra = fresh(docs, "lang_pred", "score", "langs", "lang_fit", "whole_text")
 
     def run(batches):
         model = sent.value
         for batch in batches:
-            names, scores, all_of = [], [], []
+            names, scores, all_of, fits = [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                chosen, share = mixture(model, t)
+                chosen, share, gain = fitted(model, t)
+                fits.append(gain)
                 names.append(model.languages[chosen[0]] if chosen else UNDETERMINED)
                 scores.append(min(1.0, float(share[0])) if chosen else 0.0)
                 all_of.append([{"lang": model.languages[i], "part": float(s)} for i, s in zip(chosen, share, strict=True)])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("part", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(all_of, kind)], names=[*batch.schema.names[:-1], pred, score, langs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(all_of, kind), pa.array(fits, pa.float64())], names=[*batch.schema.names[:-1], pred, score, langs, fit_])
 
     none = F.array().cast("array<struct<lang: string, part: double>>")
-    schema = docs.withColumns({pred: F.lit(""), score: F.lit(0.0), langs: none}).schema
+    schema = docs.withColumns({pred: F.lit(""), score: F.lit(0.0), langs: none, fit_: F.lit(0.0)}).schema
     for f in schema.fields:
         f.nullable = True
     return docs.withColumn(extra, F.col(text)).mapInArrow(run, schema)
