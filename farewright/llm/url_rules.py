@@ -1,13 +1,15 @@
 """URL filters by rule lists of any length.
 
-A rule is a host and the start of a path. A URL's host is expanded into its suffixes and its path
-into its prefixes of the lengths that rules have; each pair is an expression. Expressions meet rules
+A rule is a host and the start of a path. A URL's host is expanded into its suffixes of the numbers of
+labels that rules have, and its path into its prefixes of the lengths that rules have; each pair is an
+expression. Expressions meet rules
 by an equi-join on the first bytes of their digests; the whole digest then confirms, and the longest
 rule decides.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,8 @@ from farewright.llm.shared import fresh, lower_ascii, written
 SHORT = 8
 #: Rule lists of no more rows are broadcast; longer ones are joined by shuffle.
 MAX_BROADCAST_RULES = 100_000
-#: Rule paths have no more different lengths than this.
-MAX_LENGTHS = 4096
+#: So many pairs of label count and path length are looked up in one pass over the URLs.
+PASS_SHAPES = 4096
 DEFAULT = "allow"
 
 
@@ -67,17 +69,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     columns take other names if pages has columns of these names."""
     ruled = rules.select(lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").where("rule_host is not null and rule_path is not null").distinct()
     ruled = written(ruled.select("*", _digest(F.col("rule_host"), F.col("rule_path")).alias("digest")), "rules")
-    lengths = [r[0] for r in ruled.select(F.length("rule_path")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_LENGTHS} lengths")
-    cuts = F.array(*map(F.lit, sorted(lengths))).cast("array<int>") if lengths else F.array().cast("array<int>")
+    shapes = sorted(tuple(r) for r in ruled.select(F.size(F.split("rule_host", r"\.")), F.length("rule_path")).distinct().collect())
     urls = pages.select(F.col(url).alias("url")).where("url is not null").distinct()
-    parts = urls.select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("p")), lambda n: F.substring("p", F.lit(1), n))
-    expressions = parts.where("h <> ''").select("url", F.explode(suffixes).alias("s"), prefixes.alias("ps")).select("url", "s", F.explode("ps").alias("e"))
-    expressions = expressions.select("url", _digest(F.col("s"), F.col("e")).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    parts = urls.select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).where("h <> ''")
+    expressions = None
+    for k in range(0, len(shapes) or 1, PASS_SHAPES):
+        pairs = F.from_json(F.lit(json.dumps([{"n": n, "cut": cut} for n, cut in shapes[k : k + PASS_SHAPES]])), "array<struct<n: int, cut: int>>")
+        fit = F.filter(pairs, lambda s: (s["n"] <= F.size(F.split("h", r"\."))) & (s["cut"] <= F.length("p")))
+        one = parts.select("url", F.explode(F.transform(fit, lambda s: _digest(F.call_function("substring_index", F.col("h"), F.lit("."), -s["n"]), F.substring("p", F.lit(1), s["cut"])))).alias("digest"))
+        expressions = one if expressions is None else expressions.unionByName(one)
+    expressions = expressions.withColumn("short", F.substring("digest", 1, SHORT))
     keyed = ruled.withColumn("short", F.substring("digest", 1, SHORT)).withColumnRenamed("digest", "whole")
     if ruled.count() <= MAX_BROADCAST_RULES:
         keyed = F.broadcast(keyed)
