@@ -31,7 +31,7 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(t, BULLET, "\n")
     t = F.btrim(F.regexp_replace(t, PUNCTUATION, " "))
     same = F.create_map(*(F.lit(x) for pair in WORDS.items() for x in pair))
-    words = F.transform(F.split(t, " "), lambda w: F.coalesce(F.try_element_at(same, w), w))
+    words = F.transform(F.split(t, " "), lambda w: F.when(w.isin(*WORDS), F.try_element_at(same, w)).otherwise(w))
     t = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
     for old, new in PHRASES.items():
         t = F.replace(t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
