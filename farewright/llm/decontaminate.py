@@ -85,6 +85,15 @@ def _post(batches, ids: dict[bytes, int], hashes: np.ndarray, schema: pa.Schema,
             yield pa.RecordBatch.from_arrays([d, th, own, pa.nulls(n, pa.int64()), empty, pa.array(sizes, pa.int64())], schema=schema)
 
 
+def told_apart(rows: DataFrame, name: str) -> int:
+    """The number of rows, all of which must have a name of their own. Words of documents are compared
+    with those of the benchmark as they are, and 64-bit names stand only for what is told apart here."""
+    n, names = rows.agg(F.count("*"), F.count_distinct(name)).first()
+    if n != names:
+        raise ValueError(f"two rows of the benchmark have one {name}: their 64-bit hashes are equal")
+    return n
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """d, th: hashes of id and text, 128 bits together, that stand for a row; rows that agree in
     both are alike in every answer."""
@@ -98,7 +107,7 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     (word,) = terms.columns
     coded = written(terms.select(F.col(word).alias("word"), F.xxhash64(word).alias("term")), "terms")
-    n = coded.count()
+    n = told_apart(coded, "term")
     source = keyed(docs, doc_id, text)
     schema = T.StructType([
         T.StructField("d", T.LongType()), T.StructField("th", T.LongType()), T.StructField("id", source.schema["id"].dataType),
@@ -166,7 +175,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     cut = written(windows(benchmark, item_id, item_text, size), "windows")
     terms = cut.select(F.explode("words").alias("word")).distinct()
     index = build_index(docs, terms, doc_id, text)
-    found = written(matches(index, cut.select("wid", "len", "words").dropDuplicates(["wid"]), slop), "matches")
+    wanted = written(cut.select("wid", "len", "words").distinct(), "wanted")
+    told_apart(wanted, "wid")
+    found = written(matches(index, wanted, slop), "matches")
     from pyspark.sql import Window
 
     by_start = Window.partitionBy("d", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from farewright.llm.shared import fresh
 
 RATE = 8000
+VENDOR = b"farewright"
 #: Samples of a packet, and packets between cues.
 PACKET, CUE_EVERY = 4096, 16
 #: Payloads are padded with bytes 0 to a positive multiple of this.
@@ -74,10 +75,11 @@ def encode(payload: bytes, rate: int = RATE) -> bytes:
     """An Ogg file with the payload as 8-bit samples, and its cues."""
     parts = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
     ident = _IDENT.pack(b"PCM     ", 0, 0, 1, rate, 8, 1, PACKET, 0)
+    comment = struct.pack("<I", len(VENDOR)) + VENDOR + struct.pack("<I", 0)
     cues = pages([(b"cues\0\0\0\0" + struct.pack("<I", rate), 0)], CUES, False)
     audio = pages([(ident, 0)], PCM, False)
-    out = [*audio, *cues]
-    n_audio, n_cues, done = 1, 1, 0
+    out = [*audio, *cues, *pages([(comment, 0)], PCM, False, 1)]
+    n_audio, n_cues, done = 2, 1, 0
     for k in range(0, len(parts), CUE_EVERY):
         stretch, final = parts[k : k + CUE_EVERY], k + CUE_EVERY >= len(parts)
         begun, packets = done, []
@@ -164,14 +166,14 @@ class Track:
 
 
 def track(media: bytes) -> Track:
-    """The samples of the PCM stream, whose first packet names its format. A file without one has an
+    """The samples of the PCM stream, whose first packet names its format and whose second is a comment. A file without one has an
     empty payload, rate 0 and no times."""
     streams, bad = demux(media)
     pcm = next((s for s in streams.values() if s.packets and s.packets[0][:8] == b"PCM     " and len(s.packets[0]) >= _IDENT.size), Stream())
     cue = next((s for s in streams.values() if s.packets and s.packets[0][:8] == b"cues\0\0\0\0"), Stream())
     rate = _IDENT.unpack_from(pcm.packets[0])[4] if pcm.packets else 0
-    payload = b"".join(pcm.packets[1:])
-    marks = [g for g in pcm.granules[1:] if g >= 0]
+    payload = b"".join(pcm.packets[2:])
+    marks = [g for g in pcm.granules[2:] if g >= 0]
     times = [(a / rate, b / rate) for a, b in zip([0, *marks], marks, strict=False)] if rate else []
     starts = [_CUE.unpack(c) for c in cue.packets[1:] if len(c) == _CUE.size]
     ends = [a for a, _ in starts[1:]] + [len(payload)]
