@@ -80,9 +80,40 @@ def test_all_links_of_random_prints(spark):
                 x ^= 1 << bit
             prints.add(x)
     signed = sorted(p if p < 1 << 63 else p - (1 << 64) for p in prints)
-    df = spark.createDataFrame([(p, [p]) for p in signed], "node long, fps array<long>")
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert {(x.a, x.b) for x in simhash_dedup.links(df).collect()} == want and len(want) > 100
+    df = spark.createDataFrame([(t, p) for p in signed for t in (0, 1)], "t int, fp long")
+    want = {(t, a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 for t in (0, 1)}
+    got = [(x.t, x.a, x.b) for x in simhash_dedup.links(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
+def test_tables_are_brute_force(spark):
+    """A link in any table counts; documents with one fingerprint are linked whatever the others are."""
+    data = [(r[0], r[1]) for r in ROWS] + [(100 + i, t) for i, t in enumerate(near_docs(30))]
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), tables=3).collect()
+    prints = [[p & (2**64 - 1) for p in simhash_dedup.fingerprints((t or "").encode(), 3, 3)] for _, t in data]
+    g = groups(len(data), lambda i, j: any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)))
+    least = defaultdict(lambda: None)
+    for k, (d, _) in zip(g, data, strict=True):
+        least[k] = d if least[k] is None else least[k] if d is None else min(least[k], d)
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, least[k]) for (d, _), k in zip(data, g, strict=True))
+
+
+def test_large_group_of_near_copies(spark):
+    """100,000 near copies of one text: no more links than rows, and one component."""
+    words = text(1, 800).split()
+
+    def copies(ids):
+        for frame in ids:
+            frame["text"] = [" ".join([*words[: i % 797], f"edit{i}", *words[i % 797 + 1 :]]) for i in frame["id"]]
+            yield frame
+
+    docs = spark.range(100_000, numPartitions=16).mapInPandas(copies, "id long, text string").withColumnRenamed("id", "doc_id")
+    rows_ = written(simhash_dedup.with_fingerprints(docs, "text", "fps"), "near")
+    prints = rows_.select(F.lit(0).alias("t"), F.col("fps")[0].alias("fp")).distinct()
+    n_prints, n_links = prints.count(), simhash_dedup.links(prints).count()
+    assert 1 < n_prints < 5_000 and n_links < 100_000
+    tied = components(simhash_dedup.links(prints).select("a", "b")).agg(F.count("*"), F.count_distinct("root")).first()
+    assert tied[0] > 0.9 * n_prints and tied[1] < 0.05 * n_prints + 2
 
 
 def test_representatives(spark):
@@ -180,16 +211,52 @@ def test_targets(spark):
 
 def test_tree_deals_every_block(spark):
     q = spark.createDataFrame([(1, 5), (2, 300), (3, 0), (4, 41)], "sid long, n long")
-    for depth in (0, 3, 9):
-        got = mixing.split_quotas(q, depth).collect()
+    for depth, fan in ((0, 2), (3, 256), (9, 256), (3, 2)):
+        got = mixing.split_quotas(q, depth, fan).collect()
         assert {s: sum(r.n for r in got if r.sid == s) for s in (1, 2, 3, 4)} == {1: 5, 2: 300, 3: 0, 4: 41}
-        each = Counter()
+        each = Counter(dict.fromkeys(range(2**depth), 0))
         for r in got:
             assert r.n >= 0
             each[r.shard] += r.n
         assert len(each) == 2**depth and max(each.values()) - min(each.values()) <= 1
 
 
+def test_groups_of_sources_have_the_same_distribution(spark):
+    """Blocks of source 1 in the first of two shards, over many seeds, with all sources in one row and
+    in groups of two: 6 of 20 blocks drawn 10 at a time."""
+    from math import comb
+
+    q = spark.createDataFrame([(1, 6), (2, 5), (3, 4), (4, 5)], "sid long, n long")
+    trees = lambda wants: [mixing._deal(q.withColumn("g", F.floor(F.col("sid") / 2 if wants else F.lit(-1)).cast("long")), 1, wants)]
+    assert {(r.shard, r.n) for t in trees(None) for r in t.groupBy("shard").agg(F.sum("n").alias("n")).collect()} == {(0, 10), (1, 10)}
+    wants = mixing.split_quotas(q.groupBy(F.floor(F.col("sid") / 2).alias("sid")).agg(F.sum("n").alias("n")), 1)
+    got = trees(wants)[0].withColumn("sid", F.floor(F.col("sid") / 2)).groupBy("shard", "sid").agg(F.sum("n").alias("n")).collect()
+    assert {(r.shard, r.sid): r.n for r in got} == {(r.shard, r.sid): r.n for r in wants.collect() if r.n}
+    # many independent halvings at once: each group g is a tree of its own, with its own random numbers
+    many = spark.range(3000).select((F.col("id") * 4).alias("b")).select(F.expr("b div 4").alias("g"), F.explode(F.expr("transform(array(6L, 5L, 4L, 5L), (n, i) -> named_struct('sid', b + i, 'n', n))")).alias("x")).select("g", "x.*")
+    left = mixing._deal(many, 1, None).where("shard = 0 and sid % 4 = 0")
+    seen = Counter({r.n: r.k for r in left.groupBy("n").agg(F.count("*").alias("k")).collect()})
+    seen[0] = 3000 - sum(seen.values())
+    for k in range(7):
+        assert abs(seen[k] / 3000 - comb(6, k) * comb(14, 10 - k) / comb(20, 10)) < 0.03
+
+
+def test_many_sources_and_no_ids(spark):
+    """100,000 sources, and one of a third of all rows whose ids are all null."""
+    docs = spark.range(150_000).select(
+        F.when(F.col("id") < 100_000, F.col("id")).alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id"), F.repeat(F.lit("x "), (F.col("id") % 7).cast("int"))).alias("text"),
+        F.when(F.col("id") < 100_000, F.concat(F.lit("host"), F.col("id").cast("string"))).otherwise("hot").alias("source"))
+    rows_ = written(mixing.sized(docs), "many")
+    made = mixing.plan(rows_, block_words=2000, shard_words=50_000)
+    out = written(mixing.mix(rows_, made), "mixed")
+    by = out.groupBy("source").agg(F.sum(F.col("size") * F.size("copies")).alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"))
+    assert out.count() == 150_000 and by.where("abs(taken - target) > most").count() == 0
+    hot = mixing.placed(rows_, made.sources).where("source = 'hot'").groupBy("block").agg(F.sum("size").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert hot[0] < 3 * 2000 and hot[1] > 100
+    shards = out.select(F.explode("copies").alias("c"), "size").groupBy("c.shard").agg(F.sum("size").alias("n")).agg(F.max("n"), F.avg("n")).first()
+    assert shards[0] < 3 * shards[1]
+
+
 def test_hypergeometric(spark):
     """Inverse of the distribution: probabilities against exact binomials."""
     from math import comb
@@ -263,6 +330,75 @@ def test_mixtures(model):
     assert language_id.mixture(model, "123 !! ²") [0] == [] and language_id.mixture(model, None)[0] == []
 
 
+def plain_mixture(model, t, penalty=1.0):
+    """The mixture by plain loops, trying languages whether or not they could gain."""
+    from math import log
+
+    # words are joined by one space, so each pair of neighbours has trigrams across it
+    joined = f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} ".encode()
+    seen = Counter()
+    for x, y, z in zip(joined, joined[1:], joined[2:]):
+        h = ((x * 0x9E3779B1) & 0xFFFFFFFF) ^ ((y * 0x85EBCA77) & 0xFFFFFFFF) ^ ((z * 0xC2B2AE3D) & 0xFFFFFFFF)
+        seen[(h ^ h >> 15) & 0xFFFF] += 1
+    n = sum(seen.values())
+
+    def em(chosen):
+        share = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(language_id.ROUNDS if len(chosen) > 1 else 0):
+            new = dict.fromkeys(chosen, 0.0)
+            for b, c in seen.items():
+                whole = sum(share[k] * model.p[k, b] for k in chosen)
+                for k in chosen:
+                    new[k] += c * share[k] * model.p[k, b] / whole
+            share = {k: v / n for k, v in new.items()}
+        return share, sum(c * log(sum(share[k] * model.p[k, b] for k in chosen)) for b, c in seen.items())
+
+    everyone = range(len(model.languages))
+    best = [max(everyone, key=lambda k: em([k])[1])]
+    share, reached = em(best)
+    order = em(list(everyone))[0]
+    for k in sorted(everyone, key=lambda k: -order[k]):
+        if k != best[0]:
+            tried, likelihood = em([*best, k])
+            if likelihood - reached <= penalty * log(n + 1) or tried[k] < 0.01:
+                break
+            best, share, reached = [*best, k], tried, likelihood
+    return {k: share[k] for k in best}
+
+
+def test_mixture_is_plain_em(spark, model):
+    r, sizes = random.Random(6), Counter()
+    for i in range(150):
+        t = " ".join(sentences(i * 7 + j, r.choice((0, 0, 3, 12, 40)), w) for j, w in enumerate((EN, DE, ["zwxq", "qqj"]))) + " the"
+        want = plain_mixture(model, t)
+        chosen, share = language_id.mixture(model, t)
+        assert set(chosen) == set(want) and all(want[k] == pytest.approx(x, abs=1e-6) for k, x in zip(chosen, share, strict=True)), t
+        sizes[len(chosen)] += 1
+    assert min(sizes[1], sizes[2]) > 20
+
+
+def test_chunks_and_unknown_scripts(spark, model, monkeypatch):
+    t = sentences(5, 400, EN + DE)
+    whole = language_id.trigrams(t)
+    monkeypatch.setattr(language_id, "CHUNK", 50)
+    cut = language_id.trigrams(t)
+    # each cut takes the two trigrams across a blank from one place and adds none within a word
+    assert set(cut[0]) <= set(whole[0]) and 0 <= whole[1].sum() - cut[1].sum() <= 2 * len(t) // 50 and (cut[1].sum() - whole[1].sum()) <= 0
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(1, sentences(1, 60, EN)), (2, "это текст на другом языке " * 5), (3, "一二三四五六七八九十"), (4, sentences(2, 60, DE))], "doc_id int, text string")
+    assert {r.doc_id for r in language_id.identify(docs, model).where("lang_fit > 0.5").collect()} == {1, 4}
+
+
+def test_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD", 2)
+    rows_ = [(sentences(i, 5, EN), f"l{i % 9}") for i in range(90)]
+    few = language_id.fit(spark.createDataFrame(rows_, "text string, lang string").coalesce(1))
+    monkeypatch.undo()
+    assert (few.p == language_id.fit(spark.createDataFrame(rows_, "text string, lang string")).p).all() and len(few.languages) == 9
+    with pytest.raises(ValueError):
+        language_id.fit(spark.range(300).selectExpr("'x' AS text", "cast(id AS string) AS lang"))
+
+
 def test_language_rows(spark, model):
     got = language_id.identify(edge(spark).withColumn("score", F.lit(7)), model)
     assert got.count() == len(ROWS) and "_score" in got.columns
@@ -286,8 +422,8 @@ def test_stages_are_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {90001, 90002}
 
     data = sorted(kept.collect(), key=lambda r: r.doc_id)
-    prints = [[p & (2**64 - 1) for p in simhash_dedup.fingerprints(r.text.encode(), corpus_pipeline.SHINGLE, corpus_pipeline.TABLES)] for r in data]
-    g = groups(len(data), lambda i, j: any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)))
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.text.translate({c: c + 32 for c in range(65, 91)}).encode().split() for r in data)]
+    g = groups(len(data), lambda i, j: 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]))
     one = written(stages["near_duplicates"](spark, kept, SF), "t2")
     assert sorted(r.doc_id for r in one.collect()) == sorted(data[i].doc_id for i in set(g)) and one.columns == docs.columns
 

@@ -1,5 +1,6 @@
 """Licences, chats, URLs, pseudonyms, media, tokens."""
 
+import hashlib
 import os
 import re
 import zlib
@@ -106,6 +107,17 @@ def test_no_rules_or_pages(spark):
     assert url_rules.judge(pages, odd).first().verdict == "block"
 
 
+@pytest.mark.parametrize("in_a_pass", [3, 4096])
+def test_rules_of_many_shapes(spark, in_a_pass, monkeypatch):
+    """More lengths of paths than were once allowed, and hosts of many labels."""
+    monkeypatch.setattr(url_rules, "PASS_SHAPES", in_a_pass)
+    n = 4200 if in_a_pass > 3 else 9
+    rules = spark.createDataFrame([("b.c", "/" + "x" * i, "block" if i % 2 else "allow") for i in range(n)] + [(".".join("abcdefg"), "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.b.c/" + "x" * (n + 50)), (2, "http://b.c/xxy"), (3, "http://" + "q." * 5000 + "c/"), (4, "http://z.a.b.c.d.e.f.g/q")], "page_id int, url string")
+    got = {r.page_id: (r.rule and len(r.rule), r.verdict) for r in url_rules.judge(pages, rules).collect()}
+    assert got == {1: (n + 3, "block" if (n - 1) % 2 else "allow"), 2: (6, "allow"), 3: (None, "allow"), 4: (14, "block")}
+
+
 # --- pseudonyms
 
 PII = "mail a.b7@mail.example.com card 4845168114407329, ip 97.51.17.173. born 1984-02-29 or 1.2.2003, ssn 123-45-6789, +1 (017) 555-7713, DE89 3704 0044 0532 0130 00"
@@ -188,6 +200,35 @@ def test_damage():
     assert ogg_media.track(m[:1000]).bad and ogg_media.track(b"").payload == b"" and ogg_media.track(b"junk" + m).payload == ogg_media.track(m).payload
 
 
+def plain_media(p):
+    """Length, digest and feature of the file for a payload, page by page, by plain loops."""
+    def page(flags, granule, serial, number, packets):
+        lacing = b"".join(bytes([255] * (len(x) // 255) + [len(x) % 255]) for x in packets)
+        head = b"OggS\0" + bytes([flags]) + granule.to_bytes(8, "little", signed=True) + b"".join(v.to_bytes(4, "little") for v in (serial, number, 0)) + bytes([len(lacing)]) + lacing
+        made = head + b"".join(packets)
+        return made[:22] + slow_crc(made).to_bytes(4, "little") + made[26:]
+
+    ident = b"PCM     " + bytes(4) + (1).to_bytes(4, "big") + (8000).to_bytes(4, "big") + bytes([8, 1]) + (4096).to_bytes(2, "big") + bytes(4)
+    comment = (10).to_bytes(4, "little") + b"farewright" + bytes(4)
+    out = [page(2, 0, 1, 0, [ident]), page(2, 0, 2, 0, [b"cues\0\0\0\0" + (8000).to_bytes(4, "little")]), page(0, 0, 1, 1, [comment])]
+    numbers, ends = {1: 2, 2: 1}, 0
+    for k in range(0, len(p), 65536):
+        part, last = p[k : k + 65536], k + 65536 >= len(p)
+        packets = [part[i : i + 4096] for i in range(0, len(part), 4096)]
+        out.append(page(4 * last, k + len(part), 2, numbers[2], [k.to_bytes(8, "little") + zlib.crc32(part).to_bytes(4, "little")]))
+        numbers[2] += 1
+        # a page holds 255 lacing values: 15 packets of 4096 bytes (17 values each)
+        for i in range(0, len(packets), 15):
+            held = packets[i : i + 15]
+            ends += sum(map(len, held))
+            out.append(page(4 * (last and i + 15 >= len(packets)), ends, 1, numbers[1], held))
+            numbers[1] += 1
+    media = b"".join(out)
+    mean, square = sum(p) / len(p), sum(x * x for x in p) / len(p)
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(p, p[1:]))
+    return len(media), hashlib.sha256(media).hexdigest(), f"ms={round(len(p) / 8)};mean={mean:.3f};rms={square ** 0.5:.3f};crossings={crossings};pages={len(out)};streams=2;bad=0;gaps=0;cues=1"
+
+
 def test_media_rows(spark):
     got = ogg_media.read_media(ogg_media.store_text(edge(spark).withColumn("media", F.lit(1))), "_media")
     assert got.count() == len(ROWS)
@@ -196,6 +237,7 @@ def test_media_rows(spark):
         b = texts[r.doc_id]
         p = b + bytes(-len(b) % 64 if b else 64)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media) == (len(b), len(p), zlib.crc32(p[-64:]), 1)
+        assert (r.payload_sha256, r.media_sha256, r.feature) == (hashlib.sha256(p).hexdigest(), *plain_media(p)[1:]) and r.media_bytes == plain_media(p)[0]
     same = got.where("doc_id = 1").collect()
     assert same[0] == same[1]
     assert ogg_media.read_media(ogg_media.store_text(empty(spark))).count() == 0
