@@ -181,3 +181,14 @@ def airlines(spark: SparkSession) -> DataFrame:
 
 def airports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in AIRPORTS.items()], "iata string, city string, country string, representative string")
+
+#: Seasons of flights from Incheon to Japan, month by month, with the months of the lowest fares.
+SEASONS = [
+    (1, "mid", "성수기"), (2, "good", "저점"), (3, "good", "저렴"), (4, "mid", "보통"), (5, "good", "저렴"), (6, "mid", "보통"),
+    (7, "bad", "성수기"), (8, "bad", "최고가"), (9, "mid", "보통"), (10, "good", "저렴"), (11, "good", "저점"), (12, "bad", "성수기")]
+BEST_MONTHS = (2, 11)
+
+
+def seasons(spark):
+    """(month, tone, label, best)."""
+    return spark.createDataFrame([(m, tone, label, m in BEST_MONTHS) for m, tone, label in SEASONS], "month int, tone string, label string, best boolean")

@@ -13,8 +13,6 @@ from farewright.functions.scoring import score
 
 KEY = ["origin", "destination", "carrier_class"]
 HIGH, MEDIUM = 30, 10
-#: Baseline tables of no more rows are broadcast; larger ones are joined by shuffle.
-MAX_BROADCAST_ROWS = 100_000
 
 
 def recent(obs: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:

@@ -103,7 +103,7 @@ def usable(drafts: DataFrame, classes: DataFrame) -> DataFrame:
     """Drafts with a route and a positive price, with defaults: roundtrip; the code's class, else the
     draft's, else mixed; the price rounded."""
     known = classes.select(F.col("code").alias("carrier_code"), F.col("carrier_class").alias("_class"))
-    j = drafts.where("origin IS NOT NULL AND destination IS NOT NULL AND price_krw > 0").join(F.broadcast(known), "carrier_code", "left")
+    j = drafts.where("origin IS NOT NULL AND destination IS NOT NULL AND price_krw > 0").join(known, "carrier_code", "left")
     cls = F.when(F.col("carrier_code").isNotNull() & (F.col("carrier_code") != ""), F.coalesce("_class", F.lit("mixed"))).otherwise(F.coalesce("carrier_class", F.lit("mixed")))
     return j.withColumn("carrier_class", cls).withColumn("trip_type", F.coalesce("trip_type", F.lit("roundtrip"))).withColumn("price_krw", F.floor(F.col("price_krw") + 0.5).cast("int")).drop("_class")
 

@@ -69,6 +69,12 @@ def upsert(stored: DataFrame, batch: DataFrame, latest: list[str], kept: list[st
         *(F.when(new, c("b", n)).otherwise(c("s", n)).alias(n) for n in latest), *(F.when(old, c("s", n)).otherwise(c("b", n)).alias(n) for n in kept))
 
 
+def capped(items: DataFrame, n: int = 40, key: str = "source", order: str = "pos") -> DataFrame:
+    """The first n list rows of each source's run, as a crawl takes them."""
+    w = Window.partitionBy(key).orderBy(order)
+    return items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -102,6 +102,11 @@ def usage_this_month(usage: DataFrame, as_of: dt.datetime) -> DataFrame:
     return usage.where((F.col("date") >= first) & (F.col("date") <= kst_date(lit_time(as_of))))
 
 
+def usage_days(usage: DataFrame, n: int = 7) -> DataFrame:
+    """The newest days of usage."""
+    return usage.orderBy(F.desc("date")).limit(n)
+
+
 def snapshot_sizes(snapshots: DataFrame, n: int = 14) -> DataFrame:
     return snapshots.select("date", F.size("deal_ids").cast("long").alias("n")).orderBy(F.desc("date")).limit(n)
 

@@ -43,8 +43,12 @@ def picks(deals: DataFrame, f: Filters, as_of: dt.datetime, pool: int = 16, n: i
     return newest.orderBy(F.desc(signal_rank(F.col("social_signal"))), F.desc("posted_at"), "id").limit(n)
 
 
-def deal_list(deals: DataFrame, f: Filters, as_of: dt.datetime, n: int = 50) -> DataFrame:
-    ready = deals.where(is_live(as_of) & not_past(F.col("depart_from"), as_of) & (F.col("price_krw") >= FLOOR))
+def deal_list(deals: DataFrame, f: Filters, as_of: dt.datetime, n: int = 50, ready_only: bool = True) -> DataFrame:
+    """The newest live deals. ready_only: above the price floor and not past, as pages show them; the
+    list that programs ask for has all."""
+    ready = deals.where(is_live(as_of))
+    if ready_only:
+        ready = ready.where(not_past(F.col("depart_from"), as_of) & (F.col("price_krw") >= FLOOR))
     return common(ready, f, as_of).orderBy(F.desc("posted_at"), "id").limit(n)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -17,17 +18,23 @@ class Node:
 
     @property
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text for p in self.parts)
+        return "".join(p for p in self._inside() if isinstance(p, str))
 
     @property
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def walk(self):
-        for p in self.parts:
+    def _inside(self):
+        """All nodes and strings below, in the page's order; pages may nest as deep as they are long."""
+        left = self.parts[::-1]
+        while left:
+            p = left.pop()
+            yield p
             if isinstance(p, Node):
-                yield p
-                yield from p.walk()
+                left += p.parts[::-1]
+
+    def walk(self):
+        return (p for p in self._inside() if isinstance(p, Node))
 
     def all(self, tag: str | None = None, cls: str | None = None, **attrs: str) -> list[Node]:
         return [n for n in self.walk() if tag in (None, n.tag) and (cls is None or cls in n.classes) and all(n.attrs.get(k.replace("_", "-")) == v for k, v in attrs.items())]
@@ -40,22 +47,23 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("")
-        self.open = [self.root]
+        self.open, self.count = [self.root], Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].parts.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].parts.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
+        closed = ""
+        while self.count[tag] and closed != tag:
+            closed = self.open.pop().tag
+            self.count[closed] -= 1
 
     def handle_data(self, data):
         self.open[-1].parts.append(data)

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +22,8 @@ class DealStore:
     """Stored deals as numbered Parquet versions, one for each batch of the stream.
 
     A version is written under its batch's number, from the version before; a batch that is delivered
-    again rewrites the same version from the same base, so the result does not change."""
+    again rewrites the same version from the same base, so the result does not change. A batch whose base
+    is missing fails, and so does a first batch into a store that has gone on: nothing stored is lost."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -29,12 +31,19 @@ class DealStore:
     def version(self, batch: int) -> str:
         return f"{self.path}/v={batch:012d}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p.suffix("/_SUCCESS"))
+    def _exists(self, batch: int) -> bool:
+        try:
+            self.read(batch)
+        except AnalysisException:
+            return False
+        return True
 
     def before(self, batch: int) -> DataFrame | None:
-        return self.spark.read.parquet(self.version(batch - 1)) if batch > 0 and self._exists(self.version(batch - 1)) else None
+        if batch > 0:
+            return self.read(batch - 1)
+        if self._exists(1):
+            raise ValueError(f"{self.path} holds later batches; a new stream needs a new store")
+        return None
 
     def merge(self, rows: DataFrame, batch: int) -> None:
         new = fold_batch(rows, ["posted_at", "id"], LATEST + KEPT)
@@ -96,7 +105,7 @@ def cooled(matches: DataFrame, hours: int = 24) -> DataFrame:
             for row in frame.sort_values(["at", "deal_id"]).itertuples(index=False):
                 now = int(row.at.timestamp() * 1000)
                 if last is None or now - last > hours * 3_600_000:
-                    out.append((int(key[0]), int(row.deal_id), row.at))
+                    out.append((key[0], row.deal_id, row.at))
                     last = now
             yield pd.DataFrame(out, columns=["watch_id", "deal_id", "at"])
         if last is not None:
