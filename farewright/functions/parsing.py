@@ -5,9 +5,10 @@ Java's word boundary takes Hangul for letters, so boundaries are stated as ASCII
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewright.dims import AIRLINE_SHORT_NAMES, AIRLINES, AIRPORTS, DESTINATION_NAMES, ORIGIN_NAMES
@@ -20,6 +21,12 @@ EXCLUDED = ["패키지", "호텔", "숙박", "3박", "4박", "5박", "2박"]
 _START, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once: the optimizer writes a plain column out wherever it
+    is named, a variable of an array function is bound."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -57,25 +64,33 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 def depart_range(text: Column, posted_at: Column) -> Column:
     """struct(depart_from, depart_to): an ISO range, an ISO day or month, months m~n월, or one month;
     of those without a year, months that have passed are next year's."""
-    year, month = F.year(posted_at), F.month(posted_at)
-    num = lambda p, i: _group(text, p, i).try_cast("int")
-    good = lambda m: m.between(1, 12)
-    safe = lambda m: F.when(good(m), m).otherwise(1)
-    pair = lambda a, b: F.struct(a.alias("depart_from"), b.alias("depart_to"))
     iso = r"(\d{4})-(\d{2})-(\d{2})\s*[~-]\s*(\d{2})-(\d{2})"
     one = r"(\d{4})-(\d{2})(?:-(\d{2}))?"
     span = r"(\d{1,2})\s*[~\-–]\s*(\d{1,2})\s*월"
     single = r"(\d{1,2})\s*월"
-    y1 = F.coalesce(num(iso, 1), F.lit(2000))
-    y2 = F.coalesce(num(one, 1), F.lit(2000))
-    first = F.when(good(num(iso, 2)) & good(num(iso, 4)), pair(_day(y1, safe(num(iso, 2)), num(iso, 3)), _day(y1, safe(num(iso, 4)), num(iso, 5))))
-    start = _day(y2, safe(num(one, 2)), F.coalesce(num(one, 3), F.lit(1)))
-    second = F.when(good(num(one, 2)), pair(start, F.when(num(one, 3).isNotNull(), start).otherwise(F.last_day(start))))
-    m1, m2, m = num(span, 1), num(span, 2), num(single, 1)
-    y3, y4 = F.when(m2 < month, year + 1).otherwise(year), F.when(m < month, year + 1).otherwise(year)
-    third = F.when(good(m1) & good(m2) & (m1 <= m2), pair(F.make_date(y3, safe(m1), F.lit(1)), F.last_day(F.make_date(y3, safe(m2), F.lit(1)))))
-    fourth = F.when(good(m), pair(F.make_date(y4, safe(m), F.lit(1)), F.last_day(F.make_date(y4, safe(m), F.lit(1)))))
-    return F.coalesce(first, second, third, fourth, pair(F.lit(None).cast("date"), F.lit(None).cast("date")))
+    num = lambda pattern, i, name: _group(text, pattern, i).try_cast("int").alias(name)
+    good = lambda m: m.between(1, 12)
+    safe = lambda m: F.when(good(m), m).otherwise(1)
+    pair = lambda a, b: F.struct(a.alias("depart_from"), b.alias("depart_to"))
+    coming = lambda m: F.when(m < F.month(posted_at), F.year(posted_at) + 1).otherwise(F.year(posted_at))
+    months = lambda a, b: _let(coming(b), lambda y: pair(F.make_date(y, safe(a), F.lit(1)), F.last_day(F.make_date(y, safe(b), F.lit(1)))))
+    year = lambda y: F.coalesce(y, F.lit(2000))
+
+    def days(x: Column) -> Column:
+        return F.when(good(x.m1) & good(x.m2), pair(_day(year(x.y), safe(x.m1), x.d1), _day(year(x.y), safe(x.m2), x.d2)))
+
+    def day(x: Column) -> Column:
+        first = _day(year(x.y), safe(x.m), F.coalesce(x.d, F.lit(1)))
+        return F.when(good(x.m), _let(first, lambda f: pair(f, F.when(x.d.isNotNull(), f).otherwise(F.last_day(f)))))
+
+    dated = F.coalesce(
+        _let(F.struct(num(iso, 1, "y"), num(iso, 2, "m1"), num(iso, 3, "d1"), num(iso, 4, "m2"), num(iso, 5, "d2")), days),
+        _let(F.struct(num(one, 1, "y"), num(one, 2, "m"), num(one, 3, "d")), day))
+    monthly = F.coalesce(
+        _let(F.struct(num(span, 1, "a"), num(span, 2, "b")), lambda x: F.when(good(x.a) & good(x.b) & (x.a <= x.b), months(x.a, x.b))),
+        _let(num(single, 1, "m"), lambda m: F.when(good(m), months(m, m))))
+    nothing = pair(F.lit(None).cast("date"), F.lit(None).cast("date"))
+    return F.coalesce(F.when(text.rlike(r"\d{4}-\d{2}"), dated), F.when(text.contains("월"), monthly), nothing)
 
 
 def contains_token(text: Column, token: str) -> Column:
@@ -85,17 +100,23 @@ def contains_token(text: Column, token: str) -> Column:
     return text.contains(token)
 
 
-def _first_token(text: Column, names: list[str]) -> Column:
-    """The first of names (longest first) that the text has, wherever it is."""
+def _haystack(text: Column) -> Column:
+    """The text, and its runs of letters in upper case between blanks."""
+    runs = F.concat(F.lit("\n "), F.upper(F.regexp_replace(text, "[^A-Za-z]+", " ")), F.lit(" "))
+    return F.concat(text, F.when(text.rlike("[A-Za-z]{2}"), runs).otherwise(""))
+
+
+def _first_token(haystack: Column, names: list[str]) -> Column:
+    """The first of names (longest first) that the text has as a token, wherever it is."""
     ordered = sorted(names, key=len, reverse=True)
-    return F.coalesce(*(F.when(contains_token(text, n), F.lit(n)) for n in ordered))
+    keys = F.array(*(F.lit(f" {n.upper()} " if n.isascii() and n.isalpha() else n) for n in ordered))
+    return F.trim(F.get(F.filter(keys, lambda k: F.contains(haystack, k)), F.lit(0)))
 
 
 def _resolve(raw: Column, names: dict[str, str], destination: bool) -> Column:
-    t = F.trim(raw)
-    code = F.coalesce(mapped(names, t), mapped(names, F.upper(t)), F.when(F.upper(t).isin(list(AIRPORTS)), F.upper(t)))
-    rep = representative(code)
-    return rep if destination else F.when(code == "GMP", "GMP").otherwise(rep)
+    known = lambda up: F.when(up.isin(list(AIRPORTS)), up)
+    code = _let(F.trim(raw), lambda t: F.coalesce(mapped(names, t), mapped(names, F.upper(t)), known(F.upper(t))))
+    return _let(code, representative if destination else lambda c: F.when(c == "GMP", "GMP").otherwise(representative(c)))
 
 
 def normalize_route(origin: Column, destination: Column) -> tuple[Column, Column]:
@@ -108,34 +129,55 @@ def parse_route(text: Column) -> tuple[Column, Column]:
     left = _group(text, f"{_START}([A-Z]{{3}}){arrow}[A-Z]{{3}}{_END}", 1)
     right = _group(text, f"{_START}[A-Z]{{3}}{arrow}([A-Z]{{3}}){_END}", 1)
     lone = F.get(F.filter(_all(text, f"{_START}([A-Z]{{3}}){_END}"), lambda c: c.isin([a for a in AIRPORTS if a not in ("ICN", "GMP")])), F.lit(0))
-    origin = F.coalesce(_first_token(text, list(ORIGIN_NAMES)), left, F.lit("ICN"))
-    return normalize_route(origin, F.coalesce(_first_token(text, list(DESTINATION_NAMES)), right, lone))
+    route = lambda hay: F.struct(
+        F.coalesce(_first_token(hay, list(ORIGIN_NAMES)), left, F.lit("ICN")).alias("origin"), F.coalesce(_first_token(hay, list(DESTINATION_NAMES)), right, lone).alias("destination"))
+    named = _let(_haystack(text), route)
+    return normalize_route(named["origin"], named["destination"])
 
 
 def parse_carrier(text: Column) -> Column:
     """Code of the first full name (longest first), then short name, then code in the text."""
-    def by_name(names: dict[str, str]) -> list[Column]:
-        return [F.when(text.contains(n), F.lit(c)) for n, c in sorted(names.items(), key=lambda x: -len(x[0]))]
+    def by_name(names: dict[str, str]) -> Column:
+        ordered = F.array(*map(F.lit, sorted(names, key=len, reverse=True)))
+        return mapped(names, F.get(F.filter(ordered, lambda n: F.contains(text, n)), F.lit(0)))
 
     lone = F.get(F.filter(_all(text, f"{_START}([A-Z0-9]{{2,3}}){_END}"), lambda c: c.isin(list(AIRLINES))), F.lit(0))
-    return F.coalesce(*by_name({v[0]: k for k, v in AIRLINES.items()}), *by_name(AIRLINE_SHORT_NAMES), lone)
+    return F.coalesce(by_name({v[0]: k for k, v in AIRLINES.items()}), by_name(AIRLINE_SHORT_NAMES), lone)
 
 
 def class_of(code: Column) -> Column:
     return F.coalesce(mapped({k: v[1] for k, v in AIRLINES.items()}, F.upper(F.trim(code))), F.lit("mixed"))
 
 
-def parse_rules(title: Column, body: Column, posted_at: Column) -> dict[str, Column]:
-    """All fields of a draft. A text with an excluded word has none, and class mixed."""
+def _draft(title: Column, body: Column, posted_at: Column) -> Column:
+    """A struct of what a text says; null for a text with an excluded word."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, BODY_CHARS))
-    out = reduce(lambda a, b: a | b, (text.contains(w) for w in EXCLUDED))
-    unless = lambda c: F.when(~out, c)
-    origin, destination = parse_route(text)
-    code, span = parse_carrier(text), depart_range(text, posted_at)
+
+    def fields(t: Column) -> Column:
+        origin, destination = parse_route(t)
+        return F.struct(
+            origin.alias("origin"), destination.alias("destination"), parse_trip_type(t).alias("trip_type"), parse_price(t).alias("price_krw"), parse_carrier(t).alias("carrier_code"),
+            depart_range(t, posted_at).alias("depart"))
+
+    out = lambda t: reduce(lambda a, b: a | b, (t.contains(w) for w in EXCLUDED))
+    return _let(text, lambda t: F.when(~out(t), fields(t)))
+
+
+def _fields(draft: Column) -> dict[str, Column]:
     return {
-        "origin": unless(origin), "destination": unless(destination), "trip_type": unless(parse_trip_type(text)), "price_krw": unless(parse_price(text)),
-        "carrier_code": unless(code), "carrier_class": F.when(out, "mixed").otherwise(class_of(code)),
-        "depart_from": unless(span["depart_from"]), "depart_to": unless(span["depart_to"])}
+        **{name: draft[name] for name in ("origin", "destination", "trip_type", "price_krw", "carrier_code")}, "carrier_class": class_of(draft["carrier_code"]),
+        "depart_from": draft["depart"]["depart_from"], "depart_to": draft["depart"]["depart_to"]}
+
+
+def parse_rules(title: Column, body: Column, posted_at: Column) -> dict[str, Column]:
+    """All fields of a draft. A text with an excluded word has none, and class mixed."""
+    return _fields(_draft(title, body, posted_at))
+
+
+def with_rules(posts: DataFrame, title: Column, body: Column, posted_at: Column) -> DataFrame:
+    """posts with all fields of parse_rules; the draft is made in a projection of its own, so that it
+    is planned and computed once, not for each field."""
+    return posts.select("*", _draft(title, body, posted_at).alias("_draft")).withColumns(_fields(F.col("_draft"))).drop("_draft")
 
 
 def page_prices(body: Column) -> Column:

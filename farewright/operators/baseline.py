@@ -12,6 +12,8 @@ from farewright.functions.jsmath import blend, min_ignoring_null, round_quantile
 from farewright.functions.scoring import score
 
 KEY = ["origin", "destination", "carrier_class"]
+CLASSES = ("fsc", "lcc", "mixed")
+RESOLVED = ["p10_krw", "p50_krw", "p90_krw", "source", "confidence", "observation_count", "level"]
 HIGH, MEDIUM = 30, 10
 
 
@@ -45,26 +47,60 @@ def resolve_baseline(keys: DataFrame, obs: DataFrame, seed: DataFrame, as_of: dt
     seen = observed_quantiles(recent(obs, as_of, days), q)
     own = seed.select(*KEY, F.col("p10_krw").alias("s10"), F.col("p50_krw").alias("s50"), F.col("p90_krw").alias("s90"), F.lit(True).alias("has_own"))
     mixed = seed.where("carrier_class = 'mixed'").select("origin", "destination", F.col("p10_krw").alias("m10"), F.col("p50_krw").alias("m50"), F.col("p90_krw").alias("m90"), F.lit(True).alias("has_mixed"))
-    j = keys.join(seen, KEY, "left").join(own, KEY, "left").join(mixed, ["origin", "destination"], "left")
+    return _resolved(keys.join(seen, KEY, "left").join(own, KEY, "left").join(mixed, ["origin", "destination"], "left")).select(*keys.columns, *RESOLVED)
+
+
+def _resolved(found: DataFrame) -> DataFrame:
+    """found: KEY, n, o10.. (observed), s10.. and has_own (seed of the class), m10.. and has_mixed (the
+    route's mixed seed); adds the columns RESOLVED."""
     n = F.coalesce("n", F.lit(0))
     level = (F.when(n >= HIGH, 1).when((n >= MEDIUM) & F.col("has_own"), 2)
              .when(F.col("has_own") & F.col("carrier_class").isin("fsc", "lcc"), 3).when(F.col("has_mixed"), 4).otherwise(5))
-    j = j.withColumn("level", level)
+    j = found.withColumn("level", level)
 
     def pick(p: str) -> Column:
         o, s, m = F.col(f"o{p}"), F.col(f"s{p}"), F.col(f"m{p}")
         value = F.when(F.col("level") == 1, o).when(F.col("level") == 2, blend(o, s)).when(F.col("level") == 3, s).when(F.col("level") == 4, m)
-        return round_quantile(value).alias(f"p{p}_krw")
+        return round_quantile(value)
 
     source = F.when(F.col("level") == 1, "observed").when(F.col("level") == 2, "mixed").when(F.col("level") <= 4, "seed")
     sure = F.when(F.col("level") == 1, "high").when(F.col("level") <= 3, "medium").when(F.col("level") == 4, "low")
-    return j.select(*keys.columns, pick("10"), pick("50"), pick("90"), source.alias("source"), sure.alias("confidence"), n.cast("long").alias("observation_count"), "level")
+    return j.withColumns({**{f"p{p}_krw": pick(p) for p in ("10", "50", "90")}, "source": source, "confidence": sure, "observation_count": n.cast("long")})
+
+
+def route_baselines(obs: DataFrame, as_of: dt.datetime, seed_from: dt.datetime, seed_to: dt.datetime, days: int = 30, seeded: Column | None = None) -> DataFrame:
+    """What resolve_baseline gives for all three classes of each observed route, with a seed that is
+    the quantiles of the observations of [seed_from, seed_to), from one aggregate over one scan.
+
+    seeded: which keys have a seed (null: all that were observed then). known: whether the key itself
+    was ever observed. price_krw: its newest price before as_of (ties as in latest_price). One row for
+    each route and class: the classes of a route meet in a group of at most three rows."""
+    at, price = F.col("observed_at"), F.col("price_krw")
+    in_days = (at >= lit_time(as_of - dt.timedelta(days=days))) & (at < lit_time(as_of))
+    in_seed = (at >= lit_time(seed_from)) & (at < lit_time(seed_to))
+    qs = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
+    newest = F.max_by(price, F.when(at < lit_time(as_of), F.struct("observed_at", "source_deal_id", "id")))
+    each = obs.groupBy(*KEY).agg(
+        F.count_if(in_days).alias("n"), F.percentile(F.when(in_days, price), qs).alias("o"), F.count_if(in_seed).alias("k"), F.percentile(F.when(in_seed, price), qs).alias("s"), newest.alias("price_krw"))
+    has = (F.col("k") > 0) & (F.lit(True) if seeded is None else F.coalesce(seeded, F.lit(False)))
+    each = each.withColumn("has_own", has).withColumn("s", F.when(has, F.transform("s", round_quantile)))
+    of = F.struct("n", "o", "s", "has_own", "price_krw", F.lit(True).alias("known"))
+    routes = each.groupBy("origin", "destination").agg(*(F.max_by(of, F.when(F.col("carrier_class") == c, 1)).alias(c) for c in CLASSES))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("carrier_class"), F.col(c).alias("x")) for c in CLASSES)))
+    wide = routes.select("origin", "destination", F.col("mixed").alias("m"), rows.alias("r")).select("origin", "destination", "r.carrier_class", "m", "r.x")
+    numbers = {f"{p}{q}": F.col(source)[i] for p, source in (("o", "x.o"), ("s", "x.s"), ("m", "m.s")) for i, q in enumerate(("10", "50", "90"))}
+    flags = {"n": F.col("x.n"), "has_own": F.col("x.has_own"), "has_mixed": F.col("m.has_own"), "price_krw": F.col("x.price_krw"), "known": F.coalesce("x.known", F.lit(False))}
+    return _resolved(wide.withColumns({**numbers, **flags})).select(*KEY, "price_krw", "known", *RESOLVED)
 
 
 def score_prices(priced: DataFrame, baseline: DataFrame) -> DataFrame:
     """priced: KEY and price_krw; adds the baseline's columns, rate, percentile and hot flag."""
-    j = priced.join(baseline, KEY, "left")
-    return j.withColumns(score(F.col("price_krw"), F.col("p10_krw"), F.col("p50_krw"), F.col("p90_krw"), F.col("confidence")))
+    return scored(priced.join(baseline, KEY, "left"))
+
+
+def scored(priced: DataFrame) -> DataFrame:
+    """priced: price_krw and the columns of its baseline."""
+    return priced.withColumns(score(F.col("price_krw"), F.col("p10_krw"), F.col("p50_krw"), F.col("p90_krw"), F.col("confidence")))
 
 
 def latest_price(obs: DataFrame, as_of: dt.datetime, keys: list[str] = KEY) -> DataFrame:
@@ -76,10 +112,14 @@ def latest_price(obs: DataFrame, as_of: dt.datetime, keys: list[str] = KEY) -> D
 
 def heatmap(routes: DataFrame, obs: DataFrame, seed: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
     """One row for each (origin, destination) of routes: the representative of its three classes."""
-    classes = F.explode(F.array(*map(F.lit, ("fsc", "lcc", "mixed")))).alias("carrier_class")
-    base = resolve_baseline(routes.select("origin", "destination", classes), obs, seed, as_of, days)
+    classes = F.explode(F.array(*map(F.lit, CLASSES))).alias("carrier_class")
+    return representatives(resolve_baseline(routes.select("origin", "destination", classes), obs, seed, as_of, days))
+
+
+def representatives(base: DataFrame) -> DataFrame:
+    """The heatmap's rows from the resolved baselines of all three classes of each route."""
     packed = F.struct("p10_krw", "p50_krw", "p90_krw", "source", "confidence", "observation_count")
-    wide = base.groupBy("origin", "destination").agg(*(F.max(F.when(F.col("carrier_class") == c, packed)).alias(c) for c in ("fsc", "lcc", "mixed")))
+    wide = base.groupBy("origin", "destination").agg(*(F.max(F.when(F.col("carrier_class") == c, packed)).alias(c) for c in CLASSES))
     f, l, m = F.col("fsc"), F.col("lcc"), F.col("mixed")
     seen = lambda b: F.coalesce(b["source"].isin("observed", "mixed"), F.lit(False))
     is_seed = lambda b, sure: (b["source"] == "seed") & (b["confidence"] == sure)

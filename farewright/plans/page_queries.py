@@ -37,8 +37,8 @@ SELECT id, CASE WHEN NOT bad THEN 'ICN' END AS origin, CASE WHEN NOT bad THEN {_
   CASE WHEN bad THEN 'mixed' ELSE ['fsc', 'lcc', 'lcc', 'mixed'][CAST(CAST(floor(id / 3) AS BIGINT) % 4 AS INTEGER) + 1] END AS carrier_class,
   CASE WHEN NOT bad THEN first END AS depart_from, CASE WHEN NOT bad THEN CAST(last_day(first) AS DATE) END AS depart_to FROM d""")
 def x01_x08_parse_titles(spark, sf_dir):
-    t = titles(spark, sf_dir)
-    return t.select("id", *(c.alias(n) for n, c in parsing.parse_rules(F.col("title"), F.lit(None).cast("string"), F.col("posted_at")).items()))
+    found = parsing.with_rules(titles(spark, sf_dir), F.col("title"), F.lit(None).cast("string"), F.col("posted_at"))
+    return found.drop("title", "posted_at")
 
 
 @query(f"""WITH {DEALS}, t AS (SELECT id, 50000 + (id * 7919) % 900 * 1000 AS p, CAST(floor((50000 + (id * 7919) % 900 * 1000) * (100 + (id % 5 - 2) * 8) / 100) AS BIGINT) AS expected FROM deals)

@@ -81,16 +81,13 @@ SCORED = f"""scored AS (
 
 @query(f"WITH {OBS}, {SEED}, {KEYS}, {_seen(DAYS)}, {BASE} SELECT * FROM base")
 def c01_baseline(spark, sf_dir):
-    o = V.obs(spark, sf_dir)
-    return baseline.resolve_baseline(o.select(*baseline.KEY).distinct(), o, V.seed(spark, sf_dir), OBS_AS_OF, DAYS)
+    return V.baselines(spark, sf_dir, DAYS).where("known").select(*baseline.KEY, *baseline.RESOLVED)
 
 
 @query(f"WITH {OBS}, {SEED}, {KEYS}, {_seen(DAYS)}, {BASE}, {SCORED} SELECT origin, destination, carrier_class, price_krw, p50_krw, confidence, discount_rate, price_percentile, hot_deal FROM scored")
 def c02_score(spark, sf_dir):
-    o = V.obs(spark, sf_dir)
-    priced = baseline.latest_price(o, OBS_AS_OF)
-    base = baseline.resolve_baseline(priced.select(*baseline.KEY), o, V.seed(spark, sf_dir), OBS_AS_OF, DAYS)
-    return baseline.score_prices(priced, base).select(*baseline.KEY, "price_krw", "p50_krw", "confidence", "discount_rate", "price_percentile", "hot_deal")
+    base = V.baselines(spark, sf_dir, DAYS).where("price_krw IS NOT NULL")
+    return baseline.scored(base).select(*baseline.KEY, "price_krw", "p50_krw", "confidence", "discount_rate", "price_percentile", "hot_deal")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +109,7 @@ best AS (SELECT origin, destination, CASE WHEN f.source IN ('observed', 'mixed')
   WHEN m.source = 'seed' THEN struct_pack(k := 'mixed', v := m) WHEN f.source = 'seed' THEN struct_pack(k := 'mixed', v := f) WHEN l.source = 'seed' THEN struct_pack(k := 'mixed', v := l) END AS b FROM wide)
 SELECT origin, destination, coalesce(b.k, 'mixed') AS carrier_class, b.v.p10 AS p10_krw, b.v.p50 AS p50_krw, b.v.p90 AS p90_krw, b.v.source AS source, b.v.confidence AS confidence, coalesce(b.v.n, 0) AS observation_count, b.v.p10 AS cheapest_today_krw FROM best""")
 def c03_heatmap(spark, sf_dir):
-    o = V.obs(spark, sf_dir)
-    return baseline.heatmap(o.select("origin", "destination").distinct(), o, V.seed(spark, sf_dir), OBS_AS_OF, 30)
+    return baseline.representatives(V.baselines(spark, sf_dir, 30))
 
 
 _Q5 = ", ".join(f"CAST(floor(round(quantile_cont(price_krw, {q}), 6) + 0.5) AS INTEGER) AS {n}_krw" for n, q in (("p5", 0.05), ("p10", 0.1), ("p25", 0.25), ("p50", 0.5), ("p90", 0.9)))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewright.dims import SOURCES
 from farewright.functions.jsmath import round_int, round_quantile
 from farewright.functions.text import dedupe_key, representative_month
-from farewright.operators.baseline import KEY, observed_quantiles
+from farewright.operators.baseline import KEY, observed_quantiles, route_baselines
 
 OBS_AS_OF = dt.datetime(1998, 12, 31)
 DEALS_AS_OF = dt.datetime(1998, 6, 15)
 EVENTS_AS_OF = dt.datetime(2024, 1, 20)
+SEED_YEAR = dt.datetime(1997, 1, 1), dt.datetime(1998, 1, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +52,23 @@ OBS = """obs AS (
     JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey)"""
 
 
+def seeded() -> Column:
+    """Which keys have a seed: some are left out so that every level occurs."""
+    k = F.col("origin").cast("int") + F.col("destination").cast("int")
+    return F.when(F.col("carrier_class") == "mixed", k % 5 != 0).otherwise(k % 3 != 0)
+
+
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed baselines: the quantiles of 1997, with keys left out so that every level occurs."""
-    year = obs(spark, sf_dir).where((F.col("observed_at") >= F.lit(dt.datetime(1997, 1, 1)).cast("timestamp_ntz")) & (F.col("observed_at") < F.lit(dt.datetime(1998, 1, 1)).cast("timestamp_ntz")))
+    """Seed baselines: the quantiles of SEED_YEAR of the keys that have one."""
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in SEED_YEAR)
+    year = obs(spark, sf_dir).where((F.col("observed_at") >= first) & (F.col("observed_at") < last))
     q = observed_quantiles(year, {"p10_krw": 0.1, "p50_krw": 0.5, "p90_krw": 0.9})
-    k = F.col("origin").cast("int") + F.col("destination").cast("int")
-    keep = F.when(F.col("carrier_class") == "mixed", k % 5 != 0).otherwise(k % 3 != 0)
-    return q.where(keep).select(*KEY, *(round_quantile(F.col(c)).alias(c) for c in ("p10_krw", "p50_krw", "p90_krw")))
+    return q.where(seeded()).select(*KEY, *(round_quantile(F.col(c)).alias(c) for c in ("p10_krw", "p50_krw", "p90_krw")))
+
+
+def baselines(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """The resolved baselines of all routes and classes, from one scan of the observations."""
+    return route_baselines(obs(spark, sf_dir), OBS_AS_OF, *SEED_YEAR, days, seeded())
 
 
 SEED = """seed AS (
