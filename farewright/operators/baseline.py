@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farewright.dims import CLASSES
 from farewright.functions.dates import lit_time
 from farewright.functions.jsmath import blend, min_ignoring_null, round_quantile
 from farewright.functions.scoring import score
 
 KEY = ["origin", "destination", "carrier_class"]
-CLASSES = ("fsc", "lcc", "mixed")
 RESOLVED = ["p10_krw", "p50_krw", "p90_krw", "source", "confidence", "observation_count", "level"]
 HIGH, MEDIUM = 30, 10
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,6 +137,24 @@ def home(deals: DataFrame, f: Filters, as_of: dt.datetime) -> DataFrame:
     return shown.join(frequency(shown, deals, as_of), "id")
 
 
+def home_bundle(deals: DataFrame, heatmap: DataFrame, health: DataFrame, f: Filters, as_of: dt.datetime) -> DataFrame:
+    """All that the home page shows, as (part, key, label, price_krw): the deals of the three sections
+    with their frequency rank, those dearer than usual, the events of the last day among the shown
+    deals, the market's cheapest prices with their source, and the state of each crawled source."""
+    shown = sections(hero(deals, f, as_of), picks(deals, f, as_of), deal_list(deals, f, as_of))
+    ranks = frequency(shown, deals, as_of)
+    row = lambda df, part, key, label, price: df.select(
+        part.alias("part"), key.cast("string").alias("key"), label.cast("string").alias("label"), price.cast("int").alias("price_krw"))
+    none = F.lit(None)
+    id_, price = F.col("id"), F.col("price_krw")
+    parts = [
+        row(shown.join(ranks, "id"), F.col("section"), id_, F.concat_ws("/", "ordinal", "count30d"), price), row(counter(deals, as_of), F.lit("counter"), id_, none, price),
+        row(timeline(shown, ranks, as_of), F.lit("timeline"), id_, F.col("kind"), price),
+        row(heatmap, F.lit("market"), F.concat_ws("-", "origin", "destination"), F.col("source"), F.col("cheapest_today_krw")),
+        row(health, F.lit("source"), F.col("source"), F.col("state"), none)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def compare(chosen: DataFrame, market: DataFrame, n: int = 4) -> DataFrame:
     """chosen: (ord, destination). The first n with their market rows, or without."""
     return chosen.orderBy("ord").limit(n).join(market, "destination", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewright.functions import parsing
+from farewright.operators import ops
 from farewright.plans import views as V
 from farewright.plans.queries import NOW, query
 from farewright.plans.views import DEALS, DEALS_AS_OF
@@ -41,6 +42,20 @@ def x01_x08_parse_titles(spark, sf_dir):
     return found.drop("title", "posted_at")
 
 
+@query(f"WITH {DEALS} SELECT count(*) AS cases, count_if(id % 10 <> 3 OR id % 17 = 0) AS exact, count_if(id % 10 <> 3 OR id % 17 = 0) / CAST(count(*) AS DOUBLE) AS coverage FROM deals")
+def c15_a19_golden(spark, sf_dir):
+    """Parsed titles against what each was written from; a tenth of the records expect another code."""
+    k = F.col("id")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    good = lambda c: F.when(k % 17 != 0, c)
+    third = F.floor(k / 3)
+    expected = V.deals(spark, sf_dir).select(
+        "id", good(F.lit("ICN")).alias("origin"), good(pick(CODES, k)).alias("destination"), good((50_000 + (k * 7919) % 900 * 1000).cast("int")).alias("price_krw"),
+        good(F.when(k % 2 == 0, "oneway").otherwise("roundtrip")).alias("trip_type"), good(F.when(k % 10 == 3, "ZZ").otherwise(pick(["KE", "7C", "TW", None], third))).alias("carrier_code"),
+        F.when(k % 17 == 0, "mixed").otherwise(pick(["fsc", "lcc", "lcc", "mixed"], third)).alias("carrier_class"))
+    return ops.parser_coverage(x01_x08_parse_titles(spark, sf_dir), expected, expected.columns[1:], key="id")
+
+
 @query(f"""WITH {DEALS}, t AS (SELECT id, 50000 + (id * 7919) % 900 * 1000 AS p, CAST(floor((50000 + (id * 7919) % 900 * 1000) * (100 + (id % 5 - 2) * 8) / 100) AS BIGINT) AS expected FROM deals)
 SELECT id, CASE WHEN id % 3 = 1 THEN 'active' WHEN p >= expected * 0.9 AND p <= expected * 1.1 THEN 'active' ELSE 'price_changed' END AS status, CASE WHEN id % 3 = 1 THEN 'missing' WHEN p >= expected * 0.9 AND p <= expected * 1.1 THEN 'matched' ELSE 'drifted' END AS signal FROM t""")
 def x09_x10_verify_price(spark, sf_dir):

@@ -559,3 +559,46 @@ def k06_mobile_preview(spark, sf_dir):
     market = baseline.reaggregate(V.obs(spark, sf_dir), OBS_AS_OF).where("carrier_class = 'lcc'").select("origin", "destination", F.col("p10_krw").alias("cheapest_today_krw"))
     order = V.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("destination"), F.col("r_regionkey").cast("long").alias("ord"))
     return serve.mobile_preview(market, order)
+
+
+# --- the same operators where other branches give rows -----------------------------------------
+
+
+@query(f"""WITH {DEALS} SELECT {SHOWN} FROM deals WHERE posted_at >= {NOW} - INTERVAL 7 DAY AND verification_status <> 'snapshot' AND {READY} AND price_krw <= 300000
+  ORDER BY discount_rate DESC NULLS LAST, id LIMIT 3""")
+def k01_hero_fallback_found(spark, sf_dir):
+    """Nothing is hot: the best discounts of seven days, though the filter asks for one day."""
+    cold = V.deals(spark, sf_dir).withColumn("hot_deal", F.lit(False))
+    return serve.hero(cold, filters.Filters(max_price=300_000, since="24h"), AS_OF).select(*SHOWN_COLUMNS)
+
+
+COASTS = ["NRT", "BKK", "TPE", "KUL", "LAX"]
+
+
+@query(f"""WITH {DEALS} SELECT id, ['NRT', 'BKK', 'TPE', 'KUL', 'LAX'][CAST(id % 5 AS INTEGER) + 1] AS destination, price_krw, posted_at FROM deals
+WHERE id % 5 IN (1, 3) AND expires_at > {NOW} AND verification_status <> 'snapshot' AND {READY} AND posted_at >= {NOW} - INTERVAL 30 DAY AND price_krw <= 400000 AND discount_rate >= 0.1 ORDER BY posted_at DESC, id LIMIT 50""")
+def f03_region_list(spark, sf_dir):
+    """A region of several airports, with price, discount and since."""
+    d = V.deals(spark, sf_dir).withColumn("destination", F.get(F.array(*map(F.lit, COASTS)), (F.col("id") % 5).cast("int")))
+    f = filters.parse_filters({"region": "SEA", "maxPrice": "400000", "minDiscount": "10", "since": "30d"})
+    return serve.deal_list(d, f, AS_OF).select("id", "destination", "price_krw", "posted_at")
+
+
+@query(f"WITH {DEALS} SELECT {SHOWN} FROM deals WHERE expires_at > {NOW} AND verification_status <> 'snapshot' ORDER BY posted_at DESC, id LIMIT 50")
+def k03_api_list(spark, sf_dir):
+    """The list that programs ask for: no price floor, days that are past too."""
+    return serve.deal_list(V.deals(spark, sf_dir), filters.Filters(), AS_OF, ready_only=False).select(*SHOWN_COLUMNS)
+
+
+@query(f"""WITH {DEALS}, {HERO}, {PICKS}, {LISTED}, {SECTIONS}, {FREQ},
+one AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY posted_at DESC, id) AS rn FROM sections WHERE posted_at >= {NOW} - INTERVAL 24 HOUR),
+flow AS (SELECT id, price_krw, kind FROM (SELECT o.*, CASE WHEN hot_deal THEN 'hot' WHEN ordinal = 1 THEN 'first' WHEN verification_status = 'price_changed' THEN 'price_up' WHEN floor(discount_rate * 100 + 0.5) >= 20 THEN 'new' END AS kind
+  FROM one o LEFT JOIN freq USING (id) WHERE rn = 1) WHERE kind IS NOT NULL ORDER BY posted_at DESC, id LIMIT 7)
+SELECT section AS part, CAST(s.id AS VARCHAR) AS key, ordinal || '/' || count30d AS label, price_krw FROM sections s JOIN freq f ON s.id = f.id
+UNION ALL SELECT 'counter', CAST(id AS VARCHAR), NULL, price_krw FROM ({ORACLES['k04_counter']})
+UNION ALL SELECT 'timeline', CAST(id AS VARCHAR), kind, price_krw FROM flow
+UNION ALL SELECT 'market', origin || '-' || destination, source, cheapest_today_krw FROM ({ORACLES['c03_heatmap']})
+UNION ALL SELECT 'source', source, state, NULL FROM ({ORACLES['x44_c13_health']})""")
+def c10_bundle(spark, sf_dir):
+    heatmap = baseline.representatives(V.baselines(spark, sf_dir, 30))
+    return serve.home_bundle(V.deals(spark, sf_dir), heatmap, x44_c13_health(spark, sf_dir), filters.Filters(), AS_OF)

@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from farewright.functions.jsmath import round_quantile
 from farewright.operators import baseline, filters, maintain, merge, ops, serve
 from farewright.sources import boards, markup, tables
 from farewright.streaming import ingest
@@ -204,3 +206,27 @@ def test_snapshot_round_trip(spark):
 def test_coverage(spark):
     a = spark.createDataFrame([("x", 1, None), ("y", 2, "b")], "title string, p int, c string")
     assert ops.parser_coverage(a, a.withColumn("p", F.lit(1)), ["p", "c"]).first().coverage == 0.5
+
+
+def test_baselines_from_one_scan(spark):
+    """route_baselines agrees with the resolver over separate tables, classes without a row included."""
+    r = random.Random(5)
+    first, last = NOW - dt.timedelta(days=300), NOW - dt.timedelta(days=200)
+    rows = []
+    for k, (o, d, c, n) in enumerate([("A", "B", "fsc", 40), ("A", "B", "mixed", 30), ("A", "C", "lcc", 14), ("B", "C", "fsc", 5), ("B", "C", "mixed", 3), ("C", "A", "lcc", 0)]):
+        rows += [(o, d, c, r.randint(100, 900), NOW - dt.timedelta(days=r.randint(1, 29)), i % 4, 1000 * k + i) for i in range(n)]
+        rows += [(o, d, c, r.randint(100, 900), first + dt.timedelta(days=r.randint(0, 99)), 1, 1000 * k + 500 + i) for i in range(4 * (k != 3))]
+        rows += [(o, d, c, 5, NOW + dt.timedelta(days=1), 1, 1000 * k + 900)]
+    obs = spark.createDataFrame(rows, "origin string, destination string, carrier_class string, price_krw int, observed_at timestamp_ntz, source_deal_id long, id long")
+    seeded = F.col("origin") != "B"
+    old = baseline.observed_quantiles(obs.where((F.col("observed_at") >= F.lit(first)) & (F.col("observed_at") < F.lit(last))), {"p10_krw": 0.1, "p50_krw": 0.5, "p90_krw": 0.9})
+    seed = old.where(seeded).select(*baseline.KEY, *(round_quantile(F.col(p)).alias(p) for p in ("p10_krw", "p50_krw", "p90_krw")))
+    keys = obs.select("origin", "destination").distinct().crossJoin(spark.createDataFrame([("fsc",), ("lcc",), ("mixed",)], "carrier_class string"))
+    want = baseline.resolve_baseline(keys, obs, seed, NOW).select(*baseline.KEY, *baseline.RESOLVED).collect()
+    got = baseline.route_baselines(obs, NOW, first, last, 30, seeded)
+    assert sorted(map(repr, got.select(*baseline.KEY, *baseline.RESOLVED).collect())) == sorted(map(repr, want)) and len(want) == 12
+    assert {x.level for x in want} == {1, 2, 3, 4, 5}
+    newest = {tuple(x)[:3]: x.price_krw for x in baseline.latest_price(obs, NOW).collect()}
+    assert {(x.origin, x.destination, x.carrier_class): x.price_krw for x in got.where("price_krw IS NOT NULL").collect()} == newest
+    assert got.where("known").count() == 6
+    assert baseline.route_baselines(obs.limit(0), NOW, first, last).count() == 0
