@@ -53,13 +53,16 @@ def daily_snapshot(deals: DataFrame, as_of: dt.datetime, n: int = 5) -> DataFram
 
 def match_watches(watches: DataFrame, deals: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Each active watch's cheapest deal: same route, price within its limit, class unless the watch
-    takes any, month of departure if it names one. An equi-join on the route with the rest behind."""
+    takes any, month of departure if it names one. Only the cheapest deal of each route, class and
+    month can be one, so a watch meets as many rows as its route has of those, not the route's deals."""
     ready = deals.where((F.col("verification_status") == "active") & (F.col("expires_at") > lit_time(as_of)) & (F.col("price_krw") >= FLOOR))
-    w, d = watches.where("active").alias("w"), ready.alias("d")
-    same = (F.col("w.origin") == F.col("d.origin")) & (F.col("w.destination") == F.col("d.destination")) & (F.col("d.price_krw") <= F.col("w.max_price_krw"))
+    month = F.date_format("depart_from", "yyyy-MM").alias("month")
+    cheapest = ready.groupBy("origin", "destination", "carrier_class", month).agg(F.min(F.struct("price_krw", "id")).alias("best"))
+    w, d = watches.where("active").alias("w"), cheapest.alias("d")
+    same = (F.col("w.origin") == F.col("d.origin")) & (F.col("w.destination") == F.col("d.destination")) & (F.col("d.best.price_krw") <= F.col("w.max_price_krw"))
     same = same & ((F.col("w.carrier_class") == "mixed") | (F.col("w.carrier_class") == F.col("d.carrier_class")))
-    same = same & (F.col("w.depart_month").isNull() | (F.date_format("d.depart_from", "yyyy-MM") == F.col("w.depart_month")))
-    found = w.join(d, same).groupBy("w.id").agg(F.min(F.struct("d.price_krw", "d.id")).alias("best"))
+    same = same & (F.col("w.depart_month").isNull() | (F.col("d.month") == F.col("w.depart_month")))
+    found = w.join(d, same).groupBy("w.id").agg(F.min("d.best").alias("best"))
     return found.select(F.col("id").alias("watch_id"), F.col("best.id").alias("deal_id"), F.col("best.price_krw").alias("price_krw"))
 
 

@@ -473,11 +473,17 @@ def m03_merge_upsert(spark, sf_dir):
     return out.withColumn("sources", F.array_join("sources", ",")).withColumn("n_urls", F.size("source_urls").cast("long")).drop("source_urls")
 
 
-@query(f"""WITH {DEALS}, {KEYED}, {FOLD.replace('(id % 2)', '0')}
+#: Posts come in three batches by their time: before the first, before the second, and the rest.
+ARRIVALS = dt.datetime(1997, 3, 16), dt.datetime(1999, 5, 16)
+_BATCH = f"(CASE WHEN posted_at < TIMESTAMP '{ARRIVALS[0]}' THEN 0 WHEN posted_at < TIMESTAMP '{ARRIVALS[1]}' THEN 1 ELSE 2 END)"
+_IN_BATCHES = FOLD.replace("(id % 2)", "0").replace("verification_fail_count), (posted_at, id)", f"verification_fail_count), (-{_BATCH}, posted_at, id)")
+
+
+@query(f"""WITH {DEALS}, {KEYED}, {_IN_BATCHES}
 SELECT dedupe_key, array_to_string(list_filter(all_s, lambda x, i: list_position(all_s, x) = i), ',') AS sources, price_krw, posted_at,
   CASE WHEN len(list_distinct(all_s)) >= 3 THEN 'hot' ELSE CASE sig WHEN 2 THEN 'hot' WHEN 1 THEN 'trending' END END AS social_signal, l[1] AS discount_rate, k[1] AS verification_status FROM f""")
 def t01_t07_stream_ingest(spark, sf_dir):
-    """All deals through a file stream, merged into a new store."""
+    """All deals through a file stream that is taken up again for each batch, merged into one store."""
     import uuid
 
     from farewright.streaming.ingest import KEPT as kept
@@ -485,10 +491,12 @@ def t01_t07_stream_ingest(spark, sf_dir):
 
     base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     posts = V.keyed_deals(spark, sf_dir).select("id", "dedupe_key", "sources", "source_urls", "price_krw", "posted_at", "social_signal", *LATEST, *kept)
-    posts.write.parquet(f"{base}/in")
     store = DealStore(spark, f"{base}/store")
-    ingest(spark.readStream.schema(posts.schema).parquet(f"{base}/in"), store, f"{base}/cp").awaitTermination()
-    return store.read(0).select("dedupe_key", F.array_join("sources", ",").alias("sources"), "price_krw", "posted_at", "social_signal", "discount_rate", "verification_status")
+    at, (first, second) = F.col("posted_at"), map(dates.lit_time, ARRIVALS)
+    for arrived in (at < first, (at >= first) & (at < second), at.isNull() | (at >= second)):
+        posts.where(arrived).write.mode("append").parquet(f"{base}/in")
+        ingest(spark.readStream.schema(posts.schema).parquet(f"{base}/in"), store, f"{base}/cp").awaitTermination()
+    return store.latest().select("dedupe_key", F.array_join("sources", ",").alias("sources"), "price_krw", "posted_at", "social_signal", "discount_rate", "verification_status")
 
 
 @query(f"WITH {DEALS} SELECT id, sha1(upper(trim(origin)) || '|' || upper(trim(destination)) || '|' || CAST(CAST(floor(greatest(0, price_krw) / 1000) * 1000 AS BIGINT) AS VARCHAR) || '|' || strftime(coalesce(CAST(depart_from AS TIMESTAMP), posted_at), '%Y-%m') || '|' || carrier_class) AS dedupe_key FROM deals")

@@ -54,6 +54,13 @@ class DealStore:
     def read(self, batch: int) -> DataFrame:
         return self.spark.read.parquet(self.version(batch))
 
+    def latest(self) -> DataFrame | None:
+        """The newest version; None before the first batch."""
+        batch = -1
+        while self._exists(batch + 1):
+            batch += 1
+        return self.read(batch) if batch >= 0 else None
+
 
 def ingest(posts: DataFrame, store: DealStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Merges a stream of keyed deals. every: a processing time such as 15 minutes; None takes what is

@@ -81,6 +81,26 @@ def test_stream_replay(spark, tmp_path):
     store.merge(deal(spark, id=3, sources=["c"], price_krw=50), 1)
     assert sorted(map(str, store.read(1).collect())) == first
     assert {r.dedupe_key: r.price_krw for r in store.read(1).collect()} == {"k": 50, "z": 100}
+    assert sorted(map(str, store.latest().collect())) == first
+    assert ingest.DealStore(spark, str(tmp_path / "none")).latest() is None
+
+
+def test_watches_by_brute_force(spark):
+    """The reduced deals decide every watch as all deals would: ties of price, no month, no class."""
+    r = random.Random(5)
+    months = [None, dt.date(2026, 3, 2), dt.date(2026, 3, 30), dt.date(2026, 4, 1)]
+    d = [(i, r.choice(["A", "B", None]), r.choice(["X", "Y"]), r.choice(["fsc", "lcc", "mixed", None]), r.choice(months), r.choice([50_000, 60_000, 70_000])) for i in range(80)]
+    w = [(i, r.choice(["A", "B"]), r.choice(["X", "Y"]), r.choice(["fsc", "lcc", "mixed"]), r.choice([None, "2026-03", "2026-04"]), r.choice([40_000, 55_000, 80_000]), r.random() < 0.8) for i in range(60)]
+    deals = spark.createDataFrame(d, "id long, origin string, destination string, carrier_class string, depart_from date, price_krw int")
+    deals = deals.withColumn("verification_status", F.lit("active")).withColumn("expires_at", F.lit(NOW + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    watches = spark.createDataFrame(w, "id long, origin string, destination string, carrier_class string, depart_month string, max_price_krw int, active boolean")
+    want = {}
+    for i, o, t, c, m, most, active in w:
+        fits = [(p, k) for k, do, dd, dc, at, p in d if active and (do, dd) == (o, t) and p <= most and c in ("mixed", dc) and (m is None or (at and f"{at:%Y-%m}" == m))]
+        if fits:
+            want[i] = min(fits)
+    got = {x.watch_id: (x.price_krw, x.deal_id) for x in maintain.match_watches(watches, deals, NOW).collect()}
+    assert got == want and len(got) > 10
 
 
 def _memory(spark, stream, name):
