@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm import chat_format, decontaminate, language_id, license_scan, mixing, ogg_media, pseudonyms, simhash_dedup, token_scan, url_rules
+from farewright.llm import chat_format, decontaminate, language_id, license_scan, merkle, mixing, ogg_media, pivot_index, pseudonyms, simhash_dedup, spelling, token_scan, url_rules
 from farewright.llm.license_texts import LICENSES, PHRASES, TITLES, WORDS
-from farewright.llm.shared import written
+from farewright.llm.shared import lower_ascii, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,6 +193,118 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents"), slip=31))
+
+
+#: crc32 in SQL: a table from its polynomial, then byte by byte.
+CRC32_SQL = r"""
+crc_row AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS tab)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of ASCII or UTF-8 text, where crc_row is joined in."""
+    return (f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, 2 * octet_length(encode({text})), 2), "
+            f"lambda i: CAST('0x' || substr(hex(encode({text})), CAST(i + 1 AS BIGINT), 2) AS BIGINT))), "
+            f"lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))")
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL.strip()},
+runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+'), lambda w: length(w) >= 7)) AS run FROM documents WHERE text IS NOT NULL)
+  GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(id || ':' || run)")} AS h FROM runs, crc_row),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT c.word, v.word FROM cut c JOIN vocab v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cut c JOIN vocab v ON c.rest = v.word),
+ranked AS (
+  SELECT near.word, near.near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near.near) AS r
+  FROM near JOIN vocab v ON near.near = v.word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM vocab v LEFT JOIN ranked r ON v.word = r.word AND r.r = 1),
+walk(word, reached, step) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN formed f ON f.word = w.reached WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY 1)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = merkle.leaf(*(lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in merkle.COLUMNS))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*map(F.col, merkle.COLUMNS)).alias("leaf"), F.when(tampered, lowered).alias("forged"))
+    proved = merkle.proofs(leaves)
+    judged = proved.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return judged.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql(heights: int = 6) -> str:
+    """Level by level, as many as 16 ** 6 leaves of a source and as many sources need."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join(field.format(c if c != "text" else t) for c in merkle.COLUMNS) + ")"
+    out = [f"""WITH {CRC32_SQL.strip()},
+leaves AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS own FROM documents, crc_row),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM leaves),
+a0 AS (SELECT t, i, leaf AS h FROM numbered)"""]
+
+    def climb(name: str) -> None:
+        for k in range(heights):
+            out.append(f"""{name}n{k} AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {name}{k}),
+{name}{k + 1} AS (SELECT t, i // 16 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM {name}n{k} GROUP BY t, i // 16),
+{name}s{k} AS (SELECT x.t, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r, max(x.n) > 1 AS lifts
+  FROM {name}n{k} x JOIN {name}n{k} y ON x.t = y.t AND x.i // 16 = y.i // 16 GROUP BY x.t, x.i)""")
+
+    climb("a")
+    out.append(f"b0 AS (SELECT 0 AS t, t AS i, h FROM a{heights})")
+    climb("b")
+    all_of, joins = "''", ""
+    for name, tree, at in (("a", "d.t", "d.i"), ("b", "0", "d.t")):
+        for k in range(heights):
+            s = f"{name}s{k}"
+            joins += f" JOIN {s} ON {s}.t = {tree} AND {s}.i = {at} // {16**k}"
+            all_of += f" || {s}.l || {s}.r"
+    prev = "forged"
+    out.append("forged AS (SELECT *, own AS f FROM numbered)")
+    for name, tree, at in (("a", "d.t", "d.i"), ("b", "0", "d.t")):
+        for k in range(heights):
+            out.append(f"{name}f{k} AS (SELECT d.* REPLACE (CASE WHEN s.lifts THEN sha256(s.l || d.f || s.r) ELSE d.f END AS f) FROM {prev} d JOIN {name}s{k} s ON s.t = {tree} AND s.i = {at} // {16**k})")
+            prev = f"{name}f{k}"
+    return ",\n".join(out) + f"""
+SELECT doc_id, leaf, subs.h AS subroot, tops.h AS root, sha256({all_of}) AS proof_sha256, d.f AS folded_root, d.f = tops.h AS verified
+FROM {prev} d {joins} JOIN a{heights} subs ON subs.t = d.t CROSS JOIN b{heights} tops
+"""
+
+
+def op13_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS (
+  SELECT * FROM vectors WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95),
+reach(a, b) AS (SELECT r, r FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN vectors v ON v.r = reach.b GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vectors.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors JOIN least USING (r)
+"""
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -204,6 +316,9 @@ QUERIES = {
     "op8_ogg_media": op8_ogg_media,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pivot_near_dedup": op13_pivot_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
@@ -211,4 +326,7 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op6_source_mixing": OP6_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_merkle_manifest": _op12_sql(),
+    "op13_pivot_near_dedup": OP13_SQL,
 }

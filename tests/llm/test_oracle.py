@@ -9,5 +9,5 @@ def test_same_as_sql(spark, name):
     same(spark, QUERIES[name], ORACLES[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
