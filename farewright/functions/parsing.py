@@ -93,13 +93,6 @@ def depart_range(text: Column, posted_at: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"\d{4}-\d{2}"), dated), F.when(text.contains("월"), monthly), nothing)
 
 
-def contains_token(text: Column, token: str) -> Column:
-    """ASCII names need no letter on either side, in any case; others are plain substrings."""
-    if token.isascii() and token.isalpha():
-        return text.rlike(f"(?i)(?<![A-Za-z]){token}(?![A-Za-z])")
-    return text.contains(token)
-
-
 def _haystack(text: Column) -> Column:
     """The text, and its runs of letters in upper case between blanks."""
     runs = F.concat(F.lit("\n "), F.upper(F.regexp_replace(text, "[^A-Za-z]+", " ")), F.lit(" "))

@@ -11,6 +11,7 @@ from farewright.dims import CLASSES
 from farewright.functions.dates import lit_time
 from farewright.functions.jsmath import blend, min_ignoring_null, round_quantile
 from farewright.functions.scoring import score
+from farewright.operators import quantiles
 
 KEY = ["origin", "destination", "carrier_class"]
 RESOLVED = ["p10_krw", "p50_krw", "p90_krw", "source", "confidence", "observation_count", "level"]
@@ -22,10 +23,26 @@ def recent(obs: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     return obs.where((F.col("observed_at") >= lit_time(as_of - dt.timedelta(days=days))) & (F.col("observed_at") < lit_time(as_of)))
 
 
+def histogram(obs: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """(keys, price_krw, n): how often each price was seen."""
+    return obs.where("price_krw IS NOT NULL").groupBy(*keys, "price_krw").agg(F.count("*").alias("n"))
+
+
 def observed_quantiles(obs: DataFrame, qs: dict[str, float], keys: list[str] = KEY) -> DataFrame:
-    """Exact quantiles with linear interpolation, all from one aggregate, and n."""
-    made = obs.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("price_krw", F.array(*map(F.lit, qs.values()))).alias("_q"))
-    return made.select(*keys, "n", *(F.col("_q")[i].alias(name) for i, name in enumerate(qs)))
+    """Exact quantiles with linear interpolation, and n, the number of prices."""
+    return _named(quantiles.exact(histogram(obs, keys), keys, "price_krw", {"o": "n"}, list(qs.values())), qs, keys)
+
+
+def _named(made: DataFrame, qs: dict[str, float], keys: list[str]) -> DataFrame:
+    return made.select(*keys, F.col("n_o").alias("n"), *(F.col("q_o")[i].alias(name) for i, name in enumerate(qs)))
+
+
+def rolling_quantiles(days_of: DataFrame, qs: dict[str, float], as_of: list[dt.date], days: int, keys: list[str] = KEY) -> DataFrame:
+    """What observed_quantiles gives for [as_of - days, as_of), for each of several as_of, from the daily
+    histograms (quantiles.daily) in one pass."""
+    held = [*keys, "as_of"]
+    seen = quantiles.rolled(days_of, keys, "price_krw", as_of, days)
+    return _named(quantiles.exact(seen, held, "price_krw", {"o": "n"}, list(qs.values())), qs, held)
 
 
 def reaggregate(obs: DataFrame, as_of: dt.datetime, days: int = 30, least: int = MEDIUM) -> DataFrame:
@@ -70,7 +87,7 @@ def _resolved(found: DataFrame) -> DataFrame:
 
 def route_baselines(obs: DataFrame, as_of: dt.datetime, seed_from: dt.datetime, seed_to: dt.datetime, days: int = 30, seeded: Column | None = None) -> DataFrame:
     """What resolve_baseline gives for all three classes of each observed route, with a seed that is
-    the quantiles of the observations of [seed_from, seed_to), from one aggregate over one scan.
+    the quantiles of the observations of [seed_from, seed_to), from one histogram over one scan.
 
     seeded: which keys have a seed (null: all that were observed then). known: whether the key itself
     was ever observed. price_krw: its newest price before as_of (ties as in latest_price). One row for
@@ -78,11 +95,12 @@ def route_baselines(obs: DataFrame, as_of: dt.datetime, seed_from: dt.datetime,
     at, price = F.col("observed_at"), F.col("price_krw")
     in_days = (at >= lit_time(as_of - dt.timedelta(days=days))) & (at < lit_time(as_of))
     in_seed = (at >= lit_time(seed_from)) & (at < lit_time(seed_to))
-    qs = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
-    newest = F.max_by(price, F.when(at < lit_time(as_of), F.struct("observed_at", "source_deal_id", "id")))
-    each = obs.groupBy(*KEY).agg(
-        F.count_if(in_days).alias("n"), F.percentile(F.when(in_days, price), qs).alias("o"), F.count_if(in_seed).alias("k"), F.percentile(F.when(in_seed, price), qs).alias("s"), newest.alias("price_krw"))
-    has = (F.col("k") > 0) & (F.lit(True) if seeded is None else F.coalesce(seeded, F.lit(False)))
+    newest = F.max(F.when(at < lit_time(as_of), F.struct("observed_at", "source_deal_id", "id")))
+    seen = obs.groupBy(*KEY, "price_krw").agg(F.count_if(in_days & price.isNotNull()).alias("n"), F.count_if(in_seed & price.isNotNull()).alias("k"), newest.alias("newest"))
+    last = seen.groupBy(*KEY).agg(F.max_by("price_krw", "newest").alias("price_krw"))
+    each = quantiles.exact(seen.where("price_krw IS NOT NULL"), KEY, "price_krw", {"o": "n", "s": "k"}, [0.1, 0.5, 0.9])
+    each = last.alias("l").join(each.alias("e"), quantiles.same("l", "e", KEY), "left").select("l.*", F.col("e.n_o").alias("n"), F.col("e.n_s").alias("k"), F.col("e.q_o").alias("o"), F.col("e.q_s").alias("s"))
+    has = (F.coalesce("k", F.lit(0)) > 0) & (F.lit(True) if seeded is None else F.coalesce(seeded, F.lit(False)))
     each = each.withColumn("has_own", has).withColumn("s", F.when(has, F.transform("s", round_quantile)))
     of = F.struct("n", "o", "s", "has_own", "price_krw", F.lit(True).alias("known"))
     routes = each.groupBy("origin", "destination").agg(*(F.max_by(of, F.when(F.col("carrier_class") == c, 1)).alias(c) for c in CLASSES))
@@ -93,11 +111,6 @@ def route_baselines(obs: DataFrame, as_of: dt.datetime, seed_from: dt.datetime,
     return _resolved(wide.withColumns({**numbers, **flags})).select(*KEY, "price_krw", "known", *RESOLVED)
 
 
-def score_prices(priced: DataFrame, baseline: DataFrame) -> DataFrame:
-    """priced: KEY and price_krw; adds the baseline's columns, rate, percentile and hot flag."""
-    return scored(priced.join(baseline, KEY, "left"))
-
-
 def scored(priced: DataFrame) -> DataFrame:
     """priced: price_krw and the columns of its baseline."""
     return priced.withColumns(score(F.col("price_krw"), F.col("p10_krw"), F.col("p50_krw"), F.col("p90_krw"), F.col("confidence")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewright.functions.text import mapped
+from farewright.operators.ordered import id_band, ranked
 from farewright.operators.serve import signal_rank
 
 MANY_SOURCES = 3
@@ -15,11 +16,11 @@ def social_signals(items: DataFrame, keys: list[str], views: str = "views", item
     """items and social_signal: of the n rows of a run with positive views, sorted down (ties by
     id), the first ceil(0.2 n) are hot, those up to ceil(0.4 n) trending."""
     valid = F.coalesce(F.col(views) > 0, F.lit(False))
-    by_run = Window.partitionBy(*keys, valid)
-    rank = F.row_number().over(by_run.orderBy(F.desc(views), item_id))
-    n = F.count("*").over(by_run)
-    signal = F.when(rank <= F.ceil(n * 0.2), "hot").when(rank <= F.ceil(n * 0.4), "trending")
-    return items.withColumn("social_signal", F.when(valid, signal))
+    by_views, by_id = -F.col(views), id_band(items, item_id)
+    seen = ranked(items.where(valid), keys, [by_views, by_id], [item_id], "_place", "_size")
+    signal = F.when(F.col("_place") <= F.ceil(F.col("_size") * 0.2), "hot").when(F.col("_place") <= F.ceil(F.col("_size") * 0.4), "trending")
+    rest = items.where(~valid).withColumn("social_signal", F.lit(None).cast("string"))
+    return seen.withColumn("social_signal", signal).drop("_place", "_size").unionByName(rest)
 
 
 def max_signal(a: Column, b: Column) -> Column:

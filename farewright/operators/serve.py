@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from farewright.functions.dates import lit_time
 from farewright.functions.jsmath import round_half_up
 from farewright.operators.filters import FLOOR, Filters, common, in_region, is_live, not_past
-
-
+from farewright.operators.ordered import ranked
 
 
 def _ago(as_of: dt.datetime, **kw) -> Column:
@@ -71,9 +70,8 @@ def frequency(shown: DataFrame, deals: DataFrame, as_of: dt.datetime, days: int
     time, and their count; 0 and 0 outside it. Routes that are not shown never reach the window."""
     window = deals.where((F.col("posted_at") >= _ago(as_of, days=days)) & (F.col("posted_at") <= lit_time(as_of)))
     routes = window.join(shown.select("origin", "destination").distinct(), ["origin", "destination"], "left_semi")
-    by_route = Window.partitionBy("origin", "destination")
-    ranked = routes.select("id", F.row_number().over(by_route.orderBy("posted_at", "id")).alias("ordinal"), F.count("*").over(by_route).alias("count30d"))
-    return shown.select("id").join(ranked, "id", "left").select("id", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.coalesce("count30d", F.lit(0)).cast("long").alias("count30d"))
+    places = ranked(routes.select("id", "origin", "destination", "posted_at"), ["origin", "destination"], [F.date_trunc("hour", "posted_at")], ["posted_at", "id"], "ordinal", "count30d")
+    return shown.select("id").join(places.select("id", "ordinal", "count30d"), "id", "left").select("id", F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"), F.coalesce("count30d", F.lit(0)).cast("long").alias("count30d"))
 
 
 def timeline(deals: DataFrame, ranks: DataFrame, as_of: dt.datetime, n: int = 7) -> DataFrame:
@@ -94,8 +92,10 @@ def price_trace(ids: DataFrame, deals: DataFrame, obs: DataFrame, as_of: dt.date
     wanted = deals.join(ids, "id", "left_semi").select("id", *keys)
     seen = obs.where((F.col("observed_at") >= _ago(as_of, days=days)) & (F.col("observed_at") <= lit_time(as_of)) & (F.col("price_krw") > 0))
     daily = seen.groupBy(*keys, F.to_date("observed_at").alias("day")).agg(F.min("price_krw").alias("price_krw"))
-    whole = Window.partitionBy("id")
-    return wanted.join(daily, keys).select("id", "day", "price_krw", F.min("price_krw").over(whole).alias("lowest"), F.max("price_krw").over(whole).alias("highest"))
+    # The extremes of a key's days, at most `days` rows, before they are given to each of its deals.
+    whole = Window.partitionBy(*keys)
+    daily = daily.select("*", F.min("price_krw").over(whole).alias("lowest"), F.max("price_krw").over(whole).alias("highest"))
+    return wanted.join(daily, keys).select("id", "day", "price_krw", "lowest", "highest")
 
 
 def sparkline(trace: DataFrame, width: float = 120, height: float = 30, pad: float = 2, least: int = 3) -> DataFrame:

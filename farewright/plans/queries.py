@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from farewright.functions.jsmath import round_half_up
 from farewright.operators import baseline, filters, maintain, merge, ops, serve
 from farewright.plans import views as V
 from farewright.plans.views import DEALS, ITEMS, KEYED, OBS, RUNS, SEED
+from farewright.shared import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,16 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only for a local session that has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="farewright-")
-    return path.rstrip("/")
-
-
 def _round(x: str, digits: int = 0) -> str:
     return f"floor(({x}) + 0.5)" if not digits else f"(floor(({x}) * CAST({10**digits} AS DOUBLE) + 0.5) / CAST({10**digits} AS DOUBLE))"
 
@@ -484,14 +474,12 @@ SELECT dedupe_key, array_to_string(list_filter(all_s, lambda x, i: list_position
   CASE WHEN len(list_distinct(all_s)) >= 3 THEN 'hot' ELSE CASE sig WHEN 2 THEN 'hot' WHEN 1 THEN 'trending' END END AS social_signal, l[1] AS discount_rate, k[1] AS verification_status FROM f""")
 def t01_t07_stream_ingest(spark, sf_dir):
     """All deals through a file stream that is taken up again for each batch, merged into one store."""
-    import uuid
-
     from farewright.streaming.ingest import KEPT as kept
     from farewright.streaming.ingest import DealStore, ingest
 
-    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    base = fresh_dir(spark, "ingest")
     posts = V.keyed_deals(spark, sf_dir).select("id", "dedupe_key", "sources", "source_urls", "price_krw", "posted_at", "social_signal", *LATEST, *kept)
-    store = DealStore(spark, f"{base}/store")
+    store = DealStore(spark, f"{base}/store", buckets=16)
     at, (first, second) = F.col("posted_at"), map(dates.lit_time, ARRIVALS)
     for arrived in (at < first, (at >= first) & (at < second), at.isNull() | (at >= second)):
         posts.where(arrived).write.mode("append").parquet(f"{base}/in")

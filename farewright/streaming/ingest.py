@@ -6,66 +6,51 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from farewright.operators.merge import fold_batch, upsert
+from farewright.shared import written
+from farewright.sources.keyed import KeyedTable
 
 LATEST = ["discount_rate", "expires_at", "hot_deal"]
 KEPT = ["verification_status", "verified_at", "verification_fail_count"]
 
 
-class DealStore:
-    """Stored deals as numbered Parquet versions, one for each batch of the stream.
+#: A stored deal.
+DEAL = (
+    "dedupe_key string, sources array<string>, source_urls array<string>, price_krw int, posted_at timestamp_ntz, social_signal string, "
+    "discount_rate double, expires_at timestamp_ntz, hot_deal boolean, verification_status string, verified_at timestamp_ntz, verification_fail_count int")
 
-    A version is written under its batch's number, from the version before; a batch that is delivered
-    again rewrites the same version from the same base, so the result does not change. A batch whose base
-    is missing fails, and so does a first batch into a store that has gone on: nothing stored is lost."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+class DealStore(KeyedTable):
+    """Stored deals by their dedupe_key. A batch rewrites the buckets that its keys fall into.
 
-    def version(self, batch: int) -> str:
-        return f"{self.path}/v={batch:012d}"
+    The store belongs to the stream that fills it, by the id that Spark keeps in the stream's checkpoint:
+    a batch that is delivered again changes nothing, and a stream with another checkpoint fails, so
+    nothing stored is lost. take_over: this stream may go on where another one ended."""
 
-    def _exists(self, batch: int) -> bool:
-        try:
-            self.read(batch)
-        except AnalysisException:
-            return False
-        return True
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, take_over: bool = False) -> None:
+        super().__init__(spark, path, "dedupe_key", DEAL, buckets)
+        self.take_over = take_over
 
-    def before(self, batch: int) -> DataFrame | None:
-        if batch > 0:
-            return self.read(batch - 1)
-        if self._exists(1):
-            raise ValueError(f"{self.path} holds later batches; a new stream needs a new store")
-        return None
+    def merge(self, rows: DataFrame, batch: int, stream: str | None = None) -> int:
+        """The store with a batch of rows; its version. stream: a name of the stream, if Spark knows none."""
+        stream = stream or rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "rows"
+        new = written(fold_batch(rows, ["posted_at", "id"], LATEST + KEPT).select(*self.schema.names), "batch")
+        return self.change(new, lambda old, batch: upsert(old, batch, LATEST, KEPT), writer=stream, batch=batch, take_over=self.take_over)
 
-    def merge(self, rows: DataFrame, batch: int) -> None:
-        new = fold_batch(rows, ["posted_at", "id"], LATEST + KEPT)
-        old = self.before(batch)
-        out = upsert(new.where("false") if old is None else old, new, LATEST, KEPT)
-        out.write.mode("overwrite").parquet(self.version(batch))
-
-    def read(self, batch: int) -> DataFrame:
-        return self.spark.read.parquet(self.version(batch))
-
-    def latest(self) -> DataFrame | None:
-        """The newest version; None before the first batch."""
-        batch = -1
-        while self._exists(batch + 1):
-            batch += 1
-        return self.read(batch) if batch >= 0 else None
+    def latest(self) -> DataFrame:
+        """The newest version; no rows before the first batch."""
+        return self.read()
 
 
 def ingest(posts: DataFrame, store: DealStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Merges a stream of keyed deals. every: a processing time such as 15 minutes; None takes what is
     there and ends."""
-    writer = posts.writeStream.foreachBatch(store.merge).option("checkpointLocation", checkpoint)
+    writer = posts.writeStream.foreachBatch(lambda rows, batch: store.merge(rows, batch) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
