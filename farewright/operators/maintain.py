@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewright.functions.dates import kst_date, lit_time, seconds_between
@@ -29,7 +29,7 @@ def to_curate(deals: DataFrame, as_of: dt.datetime, n: int = 50) -> DataFrame:
 
 
 def apply_checks(deals: DataFrame, checks: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """checks: (id, status), one for each deal at most. active resets the fail count; price_changed
+    """checks: (id, status), one for each deal at most (check_history takes any number). active resets the fail count; price_changed
     keeps it; snapshot adds to it and expires the deal at the third; unchecked only sets the time."""
     j = deals.join(checks.select("id", F.col("status").alias("_new")), "id", "left")
     new, now, fails = F.col("_new"), lit_time(as_of), F.col("verification_fail_count")
@@ -40,6 +40,39 @@ def apply_checks(deals: DataFrame, checks: DataFrame, as_of: dt.datetime) -> Dat
         "expires_at": F.when((new == "snapshot") & (fails + 1 >= FAILS), now).otherwise(F.col("expires_at"))}).drop("_new")
 
 
+def check_history(deals: DataFrame, checks: DataFrame) -> DataFrame:
+    """deals after all of their checks, one after the other by time (ties by check_id), each applied as in
+    apply_checks at its own time. checks: (check_id, id, checked_at, status), any number for a deal; those
+    without a time or a status are left out.
+
+    A check resets the fail count, adds to it or keeps it; so what a day's checks do to it is two values
+    (whether it was reset, and what was added since), and days follow each other in the same way. A window
+    holds a deal's checks of a day, or its days. A snapshot that reaches the limit expires the deal at its
+    time, the last of them if there are several."""
+    order = ["checked_at", "check_id"]
+    known = checks.where("id IS NOT NULL AND checked_at IS NOT NULL AND status IS NOT NULL").withColumn("day", F.to_date("checked_at"))
+    in_day = Window.partitionBy("id", "day").orderBy(*order)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    cut = known.withColumn("part", F.sum((F.col("status") == "active").cast("int")).over(so_far(in_day)))
+    cut = cut.withColumn("added", F.sum((F.col("status") == "snapshot").cast("int")).over(so_far(Window.partitionBy("id", "day", "part").orderBy(*order))))
+    at = F.struct(*order)
+    days = cut.groupBy("id", "day").agg(F.max_by(F.struct((F.col("part") > 0).alias("reset"), "added"), at).alias("last")).select("id", "day", "last.*")
+    first = deals.select("id", F.coalesce("verification_fail_count", F.lit(0)).alias("first"))
+    by_day = Window.partitionBy("id").orderBy("day")
+    days = days.withColumn("run", F.sum(F.col("reset").cast("int")).over(so_far(by_day)))
+    days = days.withColumn("since", F.sum("added").over(so_far(Window.partitionBy("id", "run").orderBy("day"))))
+    days = days.join(first, "id").withColumn("end", F.col("since") + F.when(F.col("run") == 0, F.col("first")).otherwise(0))
+    starts = days.select("id", "day", F.lag("end").over(by_day).alias("before"), "first").select("id", "day", F.coalesce("before", "first").alias("start"))
+    fails = F.col("added") + F.when(F.col("part") == 0, F.col("start")).otherwise(0)
+    run = cut.join(starts, ["id", "day"]).withColumn("fails", fails)
+    told = F.col("status").isin("active", "price_changed", "snapshot")
+    made = run.groupBy("id").agg(
+        F.max_by("status", F.when(told, at)).alias("_status"), F.max("checked_at").alias("_at"), F.max_by("fails", at).cast("int").alias("_fails"),
+        F.max(F.when((F.col("status") == "snapshot") & (F.col("fails") >= FAILS), F.col("checked_at"))).alias("_over"))
+    new = {"verification_status": "_status", "verified_at": "_at", "verification_fail_count": "_fails", "expires_at": "_over"}
+    return deals.join(made, "id", "left").withColumns({c: F.coalesce(n, c) for c, n in new.items()}).drop(*new.values())
+
+
 def sweep_bodies(deals: DataFrame, as_of: dt.datetime) -> DataFrame:
     return deals.withColumn("body", F.when(~F.coalesce(F.col("body_expires_at") < lit_time(as_of), F.lit(False)), F.col("body")))
 

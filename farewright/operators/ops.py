@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewright.functions.dates import kst_date, lit_time, seconds_between
 from farewright.functions.jsmath import round_half_up
 from farewright.functions.text import health_state
 from farewright.operators.baseline import KEY
+from farewright.operators.ordered import before
 
 ROW_ALARM = 250_000
 TOKENS_PER_CALL, DAILY_CALLS = 150, 300
@@ -71,6 +72,19 @@ def budget(usage: DataFrame, session_calls: int = 0, limit: int = DAILY_CALLS) -
     return usage.withColumn("calls_used", used).withColumn("can_spend", used < limit).withColumn("remaining", F.greatest(F.lit(0), limit - used))
 
 
+def gated(calls: DataFrame, limit: int = DAILY_CALLS, order: str = "call_id") -> DataFrame:
+    """calls: (call_id, at, tokens_in, ...) with date (Korean day), spent (tokens of the day's calls before)
+    and allowed: whether the budget of the day still has a call at its place, by time, ties by order.
+
+    A refused call spends nothing; but from the first one on all are refused, so sums over all calls before
+    decide as sums over the allowed ones do. Sums go by minutes and then within a minute."""
+    day = calls.withColumns({"date": kst_date(F.col("at")), "_minute": F.date_trunc("minute", "at"), "_cost": F.greatest(F.lit(0), F.coalesce("tokens_in", F.lit(0)))})
+    summed = before(day, ["date"], "_minute", {"_before": F.sum("_cost")})
+    own = Window.partitionBy("date", "_minute").orderBy("at", order).rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.col("_before") + F.coalesce(F.sum("_cost").over(own), F.lit(0))
+    return summed.withColumn("spent", spent).withColumn("allowed", F.ceil(F.col("spent") / TOKENS_PER_CALL) < limit).drop("_minute", "_cost", "_before")
+
+
 def sources_by_status(deals: DataFrame, as_of: dt.datetime) -> DataFrame:
     seen = deals.where((F.col("verified_at") >= lit_time(as_of - dt.timedelta(hours=24))) & (F.col("verified_at") <= lit_time(as_of)))
     return seen.select(F.explode("sources").alias("src"), "verification_status").groupBy("src", "verification_status").agg(F.count("*").alias("n"))

@@ -1,9 +1,9 @@
 import pytest
 
-from farewright.plans import page_queries, queries
+from farewright.plans import history_queries, page_queries, queries
 from tests.oracle import same
 
-assert page_queries
+assert page_queries and history_queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farewright.operators import baseline, merge, ordered, quantiles, serve
+from farewright.operators import baseline, maintain, merge, ops, ordered, quantiles, serve
 
 QS = [0.0, 0.05, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -92,3 +92,46 @@ def test_one_route_of_all_deals(spark):
     got = {r.id: (r.ordinal, r.count30d) for r in serve.frequency(deals, deals, now).collect()}
     inside = [i for t, i in rows if t >= now - dt.timedelta(days=30)]
     assert got == {i: (0, 0) for _, i in rows} | {i: (k + 1, len(inside)) for k, i in enumerate(inside)}
+
+
+def one_by_one(deal, checks):
+    status, at, fails, over = deal
+    for t, _, s in sorted(checks):
+        at = t
+        if s in ("active", "price_changed", "snapshot"):
+            status = s
+        fails = 0 if s == "active" else fails + (s == "snapshot")
+        over = t if s == "snapshot" and fails >= 3 else over
+    return status, at, fails, over
+
+
+def test_check_history(spark):
+    """Any number of checks of a deal, over days and within one; ties by id; what has no time or status does nothing."""
+    r, now = random.Random(4), dt.datetime(2026, 4, 18)
+    kinds = ["active", "price_changed", "snapshot", "snapshot", "snapshot", "unchecked", "strange"]
+    deals = {i: ("unchecked", None if i % 2 else now, i % 3, now + dt.timedelta(days=9)) for i in range(60)}
+    checks = [(k, r.choice([0, 0, 0, r.randrange(60)]), now + dt.timedelta(hours=r.randrange(24 * 40)), r.choice(kinds)) for k in range(900)]
+    bad = [(1000, 1, None, "active"), (1001, 2, now, None), (1002, 777, now, "snapshot"), (1003, None, now, "snapshot")]
+    d = spark.createDataFrame([(i, *v) for i, v in deals.items()], "id long, verification_status string, verified_at timestamp_ntz, verification_fail_count int, expires_at timestamp_ntz")
+    c = spark.createDataFrame(checks + bad, "check_id long, id long, checked_at timestamp_ntz, status string")
+    got = {x.id: tuple(x)[1:] for x in maintain.check_history(d, c).collect()}
+    assert got == {i: one_by_one(v, [(t, k, s) for k, j, t, s in checks if j == i]) for i, v in deals.items()}
+    assert maintain.check_history(d, c.limit(0)).count() == 60
+    once = c.where("status IN ('active', 'snapshot')").dropDuplicates(["id"]).where("id < 60 AND checked_at IS NOT NULL").withColumn("checked_at", F.lit(now).cast("timestamp_ntz"))
+    one = maintain.apply_checks(d, once, now).select(*d.columns)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, maintain.check_history(d, once).collect()))
+
+
+def test_gate(spark):
+    """As calls made one by one, where a refused call spends nothing."""
+    r, start = random.Random(6), dt.datetime(2026, 4, 17, 14, 0)
+    calls = [(i, start + dt.timedelta(seconds=r.randrange(100_000)), r.choice([None, -5, 0, 10, 400])) for i in range(800)]
+    calls += [(i, start, 100) for i in range(800, 830)]
+    spent, want = {}, {}
+    for i, at, n in sorted(calls, key=lambda c: (c[1], c[0])):
+        day = (at + dt.timedelta(hours=9)).date()
+        want[i] = -(-spent.get(day, 0) // 150) < 100
+        if want[i]:
+            spent[day] = spent.get(day, 0) + max(0, n or 0)
+    got = ops.gated(spark.createDataFrame(calls, "call_id long, at timestamp_ntz, tokens_in long"), limit=100).collect()
+    assert {x.call_id: x.allowed for x in got} == want and 0 < sum(want.values()) < len(want)
