@@ -202,8 +202,9 @@ def _in_part(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
     held = members.join(asked, "ball", "left_semi")
     sizes = held.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = held.join(sizes, "ball").groupBy("ball", F.pmod(F.xxhash64("node"), "blocks").alias("block")).agg(F.collect_list(F.struct("node", "n", "u")).alias("m"))
-    blocks = written(blocks, "blocks")
+    # Dealt by block: the join's own partitions would hold all of a ball.
+    dealt = held.join(sizes, "ball").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).repartition("ball", "block")
+    blocks = written(dealt.groupBy("ball", "block").agg(F.collect_list(F.struct("node", "n", "u")).alias("m")), "blocks")
     side = lambda x: blocks.select(F.col("ball").alias(x), F.col("m").alias(f"m{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "ma", "mb").mapInArrow(judge, "a long, b long, node long, links long")
