@@ -5,6 +5,8 @@ Java's word boundary takes Hangul for letters, so boundaries are stated as ASCII
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,6 +18,8 @@ from farewright.functions.text import mapped, representative
 
 LEAST_KRW, MOST_KRW = 50_000, 50_000_000
 BODY_CHARS = 500
+#: Names of a dictionary that are tried one by one; larger dictionaries are looked up by hash.
+FEW = 256
 #: Fixed value: words of offers that are no fares.
 EXCLUDED = ["패키지", "호텔", "숙박", "3박", "4박", "5박", "2박"]
 _START, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -99,11 +103,50 @@ def _haystack(text: Column) -> Column:
     return F.concat(text, F.when(text.rlike("[A-Za-z]{2}"), runs).otherwise(""))
 
 
-def _first_token(haystack: Column, names: list[str]) -> Column:
-    """The first of names (longest first) that the text has as a token, wherever it is."""
+def _is_token(name: str) -> bool:
+    return name.isascii() and name.isalpha()
+
+
+def _one_by_one(text: Column, ordered: list[str], tokens: bool) -> Column:
+    keys = F.array(*(F.lit(f" {n.upper()} " if tokens and _is_token(n) else n) for n in ordered))
+    found = lambda hay: F.trim(F.get(F.filter(keys, lambda k: F.contains(hay, k)), F.lit(0)))
+    return _let(_haystack(text), found) if tokens else found(text)
+
+
+def _by_hash(text: Column, ordered: list[str], tokens: bool) -> Column:
+    """What a text can name, its runs of letters and its pieces of the names' lengths, is looked up in a
+    table of the names by their crc32; the table's size adds nothing to what a text costs."""
+    shown = [n.upper() if tokens and _is_token(n) else n for n in ordered]
+
+    def ranks(token: bool) -> Callable[[Column], Column]:
+        """The place of a piece among the names (or the tokens); null if it is none."""
+        known = {shown[i]: i for i in reversed(range(len(ordered))) if (tokens and _is_token(ordered[i])) == token}
+        size = 2 * len(known) + 1
+        buckets: list[dict[str, int]] = [{} for _ in range(size)]
+        for name, rank in known.items():
+            buckets[zlib.crc32(name.encode()) % size][name] = rank
+        table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        return lambda piece: F.element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(size)).cast("int")), piece)
+
+    lengths = sorted({len(n) for n in ordered if not (tokens and _is_token(n))})
+
+    def best(t: Column) -> Column:
+        of = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+        none = F.array().cast("array<string>")
+        pieces = F.concat(none, *(F.coalesce(of(n), none) for n in lengths))
+        runs = F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0)), F.upper) if tokens else none
+        return F.least(F.array_min(F.transform(pieces, ranks(False))), F.array_min(F.transform(runs, ranks(True))))
+
+    return _let(text, lambda t: F.get(F.from_json(F.lit(json.dumps(shown)), "array<string>"), best(t)))
+
+
+def first_name(text: Column, names: list[str], tokens: bool = True, few: int = FEW) -> Column:
+    """The first of names (longest first, then as listed) that the text has; null if none.
+
+    tokens: ASCII names need no letter on either side, in any case, and are given in upper case; all others
+    are plain substrings. A dictionary of more than a few names is looked up by hash."""
     ordered = sorted(names, key=len, reverse=True)
-    keys = F.array(*(F.lit(f" {n.upper()} " if n.isascii() and n.isalpha() else n) for n in ordered))
-    return F.trim(F.get(F.filter(keys, lambda k: F.contains(haystack, k)), F.lit(0)))
+    return (_one_by_one if len(ordered) <= few else _by_hash)(text, ordered, tokens)
 
 
 def _resolve(raw: Column, names: dict[str, str], destination: bool) -> Column:
@@ -122,18 +165,12 @@ def parse_route(text: Column) -> tuple[Column, Column]:
     left = _group(text, f"{_START}([A-Z]{{3}}){arrow}[A-Z]{{3}}{_END}", 1)
     right = _group(text, f"{_START}[A-Z]{{3}}{arrow}([A-Z]{{3}}){_END}", 1)
     lone = F.get(F.filter(_all(text, f"{_START}([A-Z]{{3}}){_END}"), lambda c: c.isin([a for a in AIRPORTS if a not in ("ICN", "GMP")])), F.lit(0))
-    route = lambda hay: F.struct(
-        F.coalesce(_first_token(hay, list(ORIGIN_NAMES)), left, F.lit("ICN")).alias("origin"), F.coalesce(_first_token(hay, list(DESTINATION_NAMES)), right, lone).alias("destination"))
-    named = _let(_haystack(text), route)
-    return normalize_route(named["origin"], named["destination"])
+    return normalize_route(F.coalesce(first_name(text, list(ORIGIN_NAMES)), left, F.lit("ICN")), F.coalesce(first_name(text, list(DESTINATION_NAMES)), right, lone))
 
 
 def parse_carrier(text: Column) -> Column:
     """Code of the first full name (longest first), then short name, then code in the text."""
-    def by_name(names: dict[str, str]) -> Column:
-        ordered = F.array(*map(F.lit, sorted(names, key=len, reverse=True)))
-        return mapped(names, F.get(F.filter(ordered, lambda n: F.contains(text, n)), F.lit(0)))
-
+    by_name = lambda names: mapped(names, first_name(text, list(names), tokens=False))
     lone = F.get(F.filter(_all(text, f"{_START}([A-Z0-9]{{2,3}}){_END}"), lambda c: c.isin(list(AIRLINES))), F.lit(0))
     return F.coalesce(by_name({v[0]: k for k, v in AIRLINES.items()}), by_name(AIRLINE_SHORT_NAMES), lone)
 

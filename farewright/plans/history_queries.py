@@ -13,6 +13,7 @@ from farewright.plans.queries import query
 from farewright.plans.views import DEALS, OBS
 from farewright.shared import fresh_dir
 from farewright.sources.keyed import KeyedTable
+from farewright.streaming import limits
 
 DAYS = [dt.date(1998, 11, 1) + dt.timedelta(days=i) for i in range(30)]
 _P = ", ".join(f"CAST(floor(round(quantile_cont(price_krw, {q}), 6) + 0.5) AS INTEGER) AS {n}_krw" for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))
@@ -67,3 +68,40 @@ def s19_s20_keyed_table(spark, sf_dir):
     table.update(deals.where("id % 5 = 0").select("id", F.lit("snapshot").alias("verification_status")))
     table.delete(deals.where("id % 7 = 0").select("id"), base=2)
     return table.read()
+
+
+def _in_arrivals(spark, sf_dir, rows, state):
+    """rows with a time at, as files in three arrivals, each taken up by the stream with what it kept before."""
+    base = fresh_dir(spark, "stream")
+    first, second = dt.datetime(2024, 1, 9), dt.datetime(2024, 1, 21)
+    at = F.col("at")
+    for arrived in (at < F.lit(first), (at >= F.lit(first)) & (at < F.lit(second)), at >= F.lit(second)):
+        rows.where(arrived).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        limits.to_files(state(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def _next(key: str, ms: int) -> str:
+    """SQL: the hits that begin a window, from each one's next: the first hit of the key that is later by more."""
+    return f"""nexts AS (SELECT a.k, a.ms, min(b.ms) AS next FROM (SELECT DISTINCT k, ms FROM hits) a LEFT JOIN (SELECT DISTINCT k, ms FROM hits) b ON a.k = b.k AND b.ms > a.ms + {ms} GROUP BY 1, 2),
+begins(k, ms) AS (SELECT k, min(ms) FROM hits GROUP BY k UNION ALL SELECT n.k, n.next FROM begins JOIN nexts n USING (k, ms) WHERE n.next IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE hits AS (SELECT user_id AS k, event_id, ts, epoch_us(ts) // 1000 AS ms FROM events), {_next('user_id', 43_200_000)},
+placed AS (SELECT h.*, row_number() OVER (PARTITION BY h.k, b.ms ORDER BY ts, event_id) AS place FROM hits h JOIN begins b ON h.k = b.k AND h.ms >= b.ms AND h.ms <= b.ms + 43200000)
+SELECT k AS key, event_id, place <= 2 AS allowed, CAST(greatest(0, 2 - place) AS INTEGER) AS remaining FROM placed""")
+def t03_rate_limit(spark, sf_dir):
+    """Events as hits of their users: two in twelve hours from the first on."""
+    hits = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", limits.event_time("ts").alias("at"))
+    got = _in_arrivals(spark, sf_dir, hits, lambda s: limits.limited(s, limit=2, seconds=43_200, tie="event_id", delay="1 hour"))
+    return got.select("key", "event_id", "allowed", "remaining")
+
+
+@query(f"""WITH RECURSIVE hits AS (SELECT user_id AS k, event_id, ts, epoch_us(ts) // 1000 AS ms FROM events), {_next('user_id', 86_400_000)}
+SELECT k AS watch_id, arg_min(event_id, (ts, event_id)) AS deal_id, b.ms AS sent_ms FROM begins b JOIN hits h USING (k, ms) GROUP BY k, b.ms""")
+def t04_cooldown(spark, sf_dir):
+    """Events as matches of their users: one notice, then none for a day."""
+    matches = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("watch_id"), F.col("event_id").alias("deal_id"), limits.event_time("ts").alias("at"))
+    got = _in_arrivals(spark, sf_dir, matches, lambda s: limits.cooled(s, hours=24))
+    return got.select("watch_id", "deal_id", F.unix_millis("at").alias("sent_ms"))

@@ -1,16 +1,14 @@
-"""Micro-batches: keyed merges that can be replayed, and small states kept by key."""
+"""Micro-batches: keyed merges that can be replayed."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from farewright.functions.dates import lit_time
 from farewright.operators.merge import fold_batch, upsert
 from farewright.shared import written
 from farewright.sources.keyed import KeyedTable
@@ -59,54 +57,5 @@ def observe(posts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return posts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limited(hits: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """hits: (key, at). (key, at, allowed, remaining): a window of some seconds for each key begins at
-    its first hit and ends when its reset time has passed; hits beyond the limit are refused. State is
-    two numbers for a key and goes when the watermark (two windows) has passed the reset time; hits
-    older than the watermark are dropped by Spark."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, reset = state.get if state.exists else (0, 0)
-        for frame in frames:
-            out = []
-            for at in sorted(frame["at"]):
-                now = int(at.timestamp() * 1000)
-                if count == 0 or reset < now:
-                    count, reset = 0, now + seconds * 1000
-                count += 1
-                out.append((key[0], at, count <= limit, max(0, limit - count)))
-            yield pd.DataFrame(out, columns=["key", "at", "allowed", "remaining"])
-        state.update((count, reset))
-        state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs()) + 1)
-
-    timed = hits.withWatermark("at", f"{2 * seconds} seconds")
-    return timed.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, allowed boolean, remaining int", "count int, reset bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def cooled(matches: DataFrame, hours: int = 24) -> DataFrame:
-    """matches: (watch_id, deal_id, at). The matches that are sent: the first of a watch, and then those
-    more than some hours after the last one sent."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            out = []
-            for row in frame.sort_values(["at", "deal_id"]).itertuples(index=False):
-                now = int(row.at.timestamp() * 1000)
-                if last is None or now - last > hours * 3_600_000:
-                    out.append((key[0], row.deal_id, row.at))
-                    last = now
-            yield pd.DataFrame(out, columns=["watch_id", "deal_id", "at"])
-        if last is not None:
-            state.update((last,))
-
-    return matches.groupBy("watch_id").applyInPandasWithState(step, "watch_id bigint, deal_id bigint, at timestamp", "last bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def expired(rows: DataFrame, as_of: dt.datetime, column: str) -> DataFrame:
-    from farewright.functions.dates import lit_time
-
     return rows.where(F.col(column) < lit_time(as_of))

@@ -122,22 +122,3 @@ def test_observations_are_appended_once(spark, tmp_path):
     for _ in range(2):
         ingest.observe(spark.readStream.schema("id int, price int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
-def test_store_refuses_a_missing_base(spark, tmp_path):
-    from tests.test_operators import deal
-
-    store = ingest.DealStore(spark, str(tmp_path / "store"))
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
-        store.merge(deal(spark), 1)
-    store.merge(deal(spark), 0)
-    store.merge(deal(spark, id=2), 1)
-    with pytest.raises(ValueError):
-        store.merge(deal(spark), 0)
-
-
-def test_cooldown_of_no_watch(spark, tmp_path):
-    spark.createDataFrame([(None, 1, NOW), (1, 2, NOW)], "watch_id long, deal_id long, at timestamp").coalesce(1).write.parquet(str(tmp_path / "m"))
-    q = ingest.cooled(spark.readStream.schema("watch_id long, deal_id long, at timestamp").parquet(str(tmp_path / "m"))).writeStream.format("memory").queryName("no_watch").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.deal_id for r in spark.table("no_watch").collect()) == [1, 2]

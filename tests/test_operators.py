@@ -87,26 +87,6 @@ def test_watches_by_brute_force(spark):
     assert got == want and len(got) > 10
 
 
-def _memory(spark, stream, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).collect()
-
-
-def test_rate_limit(spark, tmp_path):
-    rows = [("ip", NOW + dt.timedelta(seconds=i)) for i in range(5)] + [("ip", NOW + dt.timedelta(seconds=70))]
-    spark.createDataFrame(rows, "key string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "h"))
-    got = _memory(spark, ingest.limited(spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / "h")), limit=3), "hits")
-    assert [r.allowed for r in sorted(got, key=lambda r: r["at"])] == [True, True, True, False, False, True]
-
-
-def test_cooldown(spark, tmp_path):
-    rows = [(1, i, NOW + dt.timedelta(hours=h)) for i, h in enumerate((0, 24, 25, 30))]
-    spark.createDataFrame(rows, "watch_id long, deal_id long, at timestamp").coalesce(1).write.parquet(str(tmp_path / "m"))
-    got = _memory(spark, ingest.cooled(spark.readStream.schema("watch_id long, deal_id long, at timestamp").parquet(str(tmp_path / "m"))), "sent")
-    assert sorted(r.deal_id for r in got) == [0, 2]
-
-
 def test_state_machine(spark):
     d = spark.createDataFrame([(i, "unchecked", None, 2, NOW + dt.timedelta(days=1)) for i in range(5)], "id int, verification_status string, verified_at timestamp_ntz, verification_fail_count int, expires_at timestamp_ntz")
     checks = spark.createDataFrame([(0, "active"), (1, "price_changed"), (2, "snapshot"), (3, "unchecked")], "id int, status string")
