@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,41 @@ def s21_row_count(spark, sf_dir):
     from farewright.functions.dates import lit_time
 
     return V.deals(spark, sf_dir).where(F.col("posted_at") <= lit_time(DEALS_AS_OF)).agg(F.count("*").alias("n"))
+
+
+#: Forms of titles: what stands there, and the price (in won), month and code that a reader takes from it. The parser
+#: has no rule for some of them.
+_FORMS = {
+    "grouped": "[특가] {city} {won}원 {m}월", "ten_thousands": "{city} 왕복 {man}만원~ {m}월 출발", "thousands_in_words": "{city} {man0}만{cheon}천원 {m}월",
+    "currency_first": "{city} KRW {won} {m}월", "codes": "ICN-{code} {won}원 {m}월", "no_unit": "{city} 항공권 {won} {m}월", "month_in_words": "{city} {won}원 시월",
+    "hotel": "{city} 호텔 {won}원 {m}월"}
+
+
+def _golden(spark, sf_dir: str) -> DataFrame:
+    """Titles of eight forms, in turn, with what a reader takes from them."""
+    k = F.col("id")
+    code, city = (F.get(F.array(*map(F.lit, v)), (k % len(v)).cast("int")) for v in (CODES, CITIES))
+    price, month = (100_000 + (k * 7919) % 800 * 1000).cast("int"), F.when(k % 8 == 6, 10).otherwise(1 + k % 12).cast("int")
+    parts = {"city": city, "code": code, "won": F.format_number(price, 0), "man": (price / 10_000).cast("decimal(9,1)"), "man0": F.floor(price / 10_000), "cheon": F.floor(price / 1000) % 10, "m": month}
+
+    def written(template: str):
+        out = []
+        for piece in re.split(r"\{(\w+)\}", template):
+            out.append(parts[piece].cast("string") if len(out) % 2 else F.lit(piece))
+        return F.concat(*out)
+
+    title = F.get(F.array(*(written(t) for t in _FORMS.values())), (k % 8).cast("int"))
+    form = F.get(F.array(*map(F.lit, _FORMS)), (k % 8).cast("int"))
+    return V.deals(spark, sf_dir).select("id", "posted_at", form.alias("form"), title.alias("title"), code.alias("destination"), price.alias("price_krw"), month.alias("month"))
+
+
+@query(f"""WITH {DEALS}, t AS (SELECT ['grouped', 'ten_thousands', 'thousands_in_words', 'currency_first', 'codes', 'no_unit', 'month_in_words', 'hotel'][CAST(id % 8 AS INTEGER) + 1] AS form, CAST((id * 7919) % 10 AS INTEGER) AS cheon FROM deals)
+SELECT form, count(*) AS cases, count(*) FILTER (form IN ('grouped', 'ten_thousands', 'codes', 'no_unit', 'currency_first') OR form = 'thousands_in_words' AND cheon = 0) AS exact FROM t GROUP BY 1""")
+def c15_a19_by_form(spark, sf_dir):
+    """How many titles of each form the parser reads as a reader does: price, destination and month."""
+    wanted = _golden(spark, sf_dir)
+    found = parsing.with_rules(wanted.select("id", "posted_at", "title"), F.col("title"), F.lit(None).cast("string"), F.col("posted_at"))
+    found = found.select("id", "destination", "price_krw", F.month("depart_from").alias("month"))
+    j = wanted.alias("w").join(found.alias("f"), "id")
+    same = F.col("w.destination").eqNullSafe(F.col("f.destination")) & F.col("w.price_krw").eqNullSafe(F.col("f.price_krw")) & F.col("w.month").eqNullSafe(F.col("f.month"))
+    return j.groupBy("form").agg(F.count("*").alias("cases"), F.count_if(same).alias("exact"))

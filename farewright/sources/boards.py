@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from urllib.parse import parse_qs, urljoin, urlsplit
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.sources.dom import Node, parse, squeezed
+from farewright.functions.dates import lit_time
+from farewright.functions.parsing import comment_count, loose_int
+from farewright.sources.dom import Node, parts, squeezed
 
 #: Where the boards are, and which of their paths may be read.
 LIST_URLS = {
@@ -101,60 +102,75 @@ def _row_c(row: Node) -> dict | None:
     return {"id": found[1], "href": href, "title": title, "shown": _text(shown)} if found and title else None
 
 
-def _rows(source: str, html: str) -> Iterator[dict]:
-    root = parse(html)
+def _is_row(source: str) -> Callable[[Node], bool]:
+    #: The classes of list rows, and of rows that are no posts.
     if source == "ppomppu":
-        rows = [(r, _row_a) for r in root.all("tr") if {"baseList", "list1", "list0", "common-list1", "common-list0"} & set(r.classes)]
-    elif source == "ruliweb":
-        rows = [(r, _row_b) for r in root.all("tr", "table_body") if not {"notice", "best"} & {c.lower() for c in r.classes}]
-    else:
-        rows = [(r, _row_c) for r in root.all("div", "list_item")]
-    return (item for row, make in rows if (item := make(row)))
+        return lambda n: n.tag == "tr" and bool({"baseList", "list1", "list0", "common-list1", "common-list0"} & set(n.classes))
+    if source == "ruliweb":
+        return lambda n: n.is_a("tr", "table_body") and not {"notice", "best"} & {c.lower() for c in n.classes}
+    return lambda n: n.is_a("div", "list_item")
+
+
+_ITEM = {"ppomppu": _row_a, "ruliweb": _row_b, "clien": _row_c}
+_HIDDEN = re.compile(r"(?is)<(script|style|noscript|svg)\b.*?</\1>|<!--.*?-->")
+
+
+@F.udtf(returnType="pos int, source_id string, source_url string, title string, shown string, views string, comments string, recommends string")
+class ListRows:
+    """list_rows(html, source): the list rows of a page, each when it closes, the first of each post id; pos
+    counts the rows that are posts, from 0. A null page has none."""
+
+    def eval(self, html: str, source: str):
+        if html is None:
+            return
+        if source == "clien":
+            html = _HIDDEN.sub("", html.removeprefix("\ufeff"))
+        seen: set[str] = set()
+        for pos, item in enumerate(item for row in parts(html, _is_row(source)) if (item := _ITEM[source](row))):
+            if item["id"] not in seen:
+                seen.add(item["id"])
+                yield pos, item["id"], urljoin(LIST_URLS[source], item["href"]), item["title"], item.get("shown"), item.get("views"), item.get("comments"), item.get("recommends")
+
+
+@F.udtf(returnType="body string")
+class DetailBody:
+    """detail_body(html, source): one row, the text of the first container of the board that has any; empty if
+    none has. Of a container that comes more than once the first counts. Reading ends with the first
+    choice."""
+
+    def eval(self, html: str, source: str):
+        choices = BODY_TAGS[source]
+        which = lambda n: [i for i, (tag, cls) in enumerate(choices) if (n.is_a(id=cls) if tag == "#" else n.is_a(tag, cls))]
+        texts: dict[int, str] = {}
+        for node in parts(html or "", lambda n: bool(which(n))):
+            for i in which(node):
+                texts.setdefault(i, squeezed(node.text.replace("\u00a0", " ")))
+            if texts.get(0):
+                break
+        yield (next((texts[i] for i in sorted(texts) if texts[i]), ""),)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes list_rows and detail_body known to SQL: FROM pages, LATERAL list_rows(html, 'ruliweb')."""
+    spark.udtf.register("list_rows", ListRows)
+    spark.udtf.register("detail_body", DetailBody)
 
 
 def list_items(pages: DataFrame, source: str, as_of: dt.datetime, html: str = "html") -> DataFrame:
     """pages and their list rows, the first of each post id on a page, in the page's order (pos). A
     row without a time has as_of; counts that are no numbers are null. Pages keep all columns but
     the HTML; a null page has no rows."""
-    from farewright.functions.dates import lit_time
-    from farewright.functions.parsing import comment_count, loose_int
-
     keep = [c for c in pages.columns if c != html]
-    shape = pages.select(*keep, *(F.lit(None).cast(k).alias(n) for n, k in (("pos", "int"), ("source_id", "string"), ("source_url", "string"), ("title", "string"), ("shown", "string"), ("v", "string"), ("c", "string"), ("r", "string")))).schema
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                seen: set[str] = set()
-                for i, item in enumerate(_rows(source, clean(row[html])) if isinstance(row[html], str) else ()):
-                    if item["id"] not in seen:
-                        seen.add(item["id"])
-                        url = urljoin(LIST_URLS[source], item["href"])
-                        out.append((*(row[c] for c in keep), i, item["id"], url, item["title"], item.get("shown"), item.get("views"), item.get("comments"), item.get("recommends")))
-            yield pd.DataFrame(out, columns=shape.names)
-
-    clean = (lambda x: re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1>|<!--.*?-->", "", x.removeprefix("﻿"))) if source == "clien" else (lambda x: x)
-    got = pages.mapInPandas(run, shape)
-    at = F.coalesce(post_time(F.coalesce("shown", F.lit("")), source, lit_time(as_of)), lit_time(as_of))
-    return got.select(*keep, "pos", "source_id", "source_url", "title", at.alias("posted_at"), loose_int(F.col("v")).alias("views"), comment_count(F.coalesce("c", F.lit(""))).alias("comments"), loose_int(F.col("r")).alias("recommends"))
+    names = {n: f"_{n}" for n in ("pos", "source_id", "source_url", "title", "shown", "views", "comments", "recommends")}
+    rows = ListRows(F.col(html).outer(), F.lit(source)).toDF(*names.values())
+    got = pages.lateralJoin(rows)
+    at = F.coalesce(post_time(F.coalesce("_shown", F.lit("")), source, lit_time(as_of)), lit_time(as_of))
+    return got.select(
+        *keep, F.col("_pos").alias("pos"), F.col("_source_id").alias("source_id"), F.col("_source_url").alias("source_url"), F.col("_title").alias("title"), at.alias("posted_at"),
+        loose_int(F.col("_views")).alias("views"), comment_count(F.coalesce("_comments", F.lit(""))).alias("comments"), loose_int(F.col("_recommends")).alias("recommends"))
 
 
 def detail_body(pages: DataFrame, source: str, html: str = "html", out: str = "body") -> DataFrame:
     """pages with the text of the first non-empty container of the board; empty if there is none."""
-    shape = pages.withColumn(out, F.lit("")).schema
-
-    def body(page) -> str:
-        root = parse(page) if isinstance(page, str) else Node("")
-        for tag, cls in BODY_TAGS[source]:
-            nodes = root.all(id=cls) if tag == "#" else root.all(tag, cls)
-            text = squeezed(nodes[0].text.replace(" ", " ")) if nodes else ""
-            if text:
-                return text
-        return ""
-
-    def run(frames):
-        for frame in frames:
-            yield frame.assign(**{out: [body(p) for p in frame[html]]})
-
-    return pages.mapInPandas(run, shape)
+    got = pages.lateralJoin(DetailBody(F.col(html).outer(), F.lit(source)).toDF("_body"))
+    return got.select(*(c for c in pages.columns if c != out), F.col("_body").alias(out))

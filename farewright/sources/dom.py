@@ -1,13 +1,16 @@
-"""A small tree over the standard library's HTML parser: enough to find elements by tag and class."""
+"""The parts of an HTML page that are asked for, each handed on when it closes: no tree of the page is held."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Characters of a page that are parsed at a time.
+CHUNK = 1 << 16
 
 
 @dataclass
@@ -36,44 +39,77 @@ class Node:
     def walk(self):
         return (p for p in self._inside() if isinstance(p, Node))
 
+    def is_a(self, tag: str | None = None, cls: str | None = None, **attrs: str) -> bool:
+        return tag in (None, self.tag) and (cls is None or cls in self.classes) and all(self.attrs.get(k.replace("_", "-")) == v for k, v in attrs.items())
+
     def all(self, tag: str | None = None, cls: str | None = None, **attrs: str) -> list[Node]:
-        return [n for n in self.walk() if tag in (None, n.tag) and (cls is None or cls in n.classes) and all(n.attrs.get(k.replace("_", "-")) == v for k, v in attrs.items())]
+        return [n for n in self.walk() if n.is_a(tag, cls, **attrs)]
 
     def first(self, *args, **kw) -> Node | None:
-        return next(iter(self.all(*args, **kw)), None)
+        return next((n for n in self.walk() if n.is_a(*args, **kw)), None)
+
 
+class _Cutter(HTMLParser):
+    """Keeps the open elements, and what is inside of the outermost wanted one."""
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, wanted: Callable[[Node], bool]) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("")
-        self.open, self.count = [self.root], Counter()
+        self.wanted, self.count = wanted, Counter()
+        self.open: list[Node] = []
+        self.inside: int | None = None
+        self.found: list[Node] = []
+        self.ready: list[Node] = []
 
-    def handle_starttag(self, tag, attrs):
+    def _add(self, tag, attrs) -> Node:
         node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].parts.append(node)
-        if tag not in VOID:
+        if self.inside is not None:
+            self.open[-1].parts.append(node)
+        if self.wanted(node):
+            self.found.append(node)
+            if self.inside is None:
+                self.inside = len(self.open)
+        return node
+
+    def _release(self) -> None:
+        if self.inside is not None and len(self.open) <= self.inside:
+            self.ready += self.found
+            self.found, self.inside = [], None
+
+    def handle_starttag(self, tag, attrs):
+        node = self._add(tag, attrs)
+        if tag in VOID:
+            self._release()
+        else:
             self.open.append(node)
             self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].parts.append(Node(tag, {k: v or "" for k, v in attrs}))
+        self._add(tag, attrs)
+        self._release()
 
     def handle_endtag(self, tag):
         closed = ""
         while self.count[tag] and closed != tag:
             closed = self.open.pop().tag
             self.count[closed] -= 1
+        self._release()
 
     def handle_data(self, data):
-        self.open[-1].parts.append(data)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
+        if self.inside is not None:
+            self.open[-1].parts.append(data)
+
+
+def parts(html: str, wanted: Callable[[Node], bool]) -> Iterator[Node]:
+    """The wanted elements of a page, in its order. Those inside another wanted one follow it, when the
+    outermost closes; what is still open at the end closes there."""
+    cut = _Cutter(wanted)
+    for start in range(0, len(html), CHUNK):
+        cut.feed(html[start : start + CHUNK])
+        yield from cut.ready
+        cut.ready.clear()
+    cut.close()
+    yield from cut.ready
+    yield from cut.found
 
 
 def squeezed(text: str) -> str:

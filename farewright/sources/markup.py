@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,20 +102,29 @@ def feed_items(feeds: DataFrame, as_of: Column, xml: str = "xml") -> DataFrame:
     return _first(found, keep, ["kind", "pos"]).select(*keep, "kind", "pos", "source_id", "source_url", "title", "posted_at")
 
 
-def decode_pages(pages: DataFrame, content: str = "content", header: str = "content_type", fallback: str = "utf-8", out: str = "html") -> DataFrame:
-    """Bytes to text by the header's charset, else the fallback; bad bytes become U+FFFD."""
-    @F.pandas_udf("string")
-    def decoded(body: pd.Series, charset: pd.Series) -> pd.Series:
-        def one(b, c):
-            if b is None:
-                return None
-            for name in (c, fallback, "utf-8"):
-                try:
-                    return bytes(b).decode(name, "replace")
-                except LookupError:
-                    continue
-
-        return pd.Series([one(b, c) for b, c in zip(body, charset, strict=True)])
+def _bytes_as(body: pd.Series, charset: pd.Series, fallback: str) -> pd.Series:
+    """Charset by charset; one that Python does not know is the fallback, and a fallback of that kind UTF-8."""
+    out = pd.Series([None] * len(body), index=body.index, dtype=object)
+    for name, rows in body[body.notna()].groupby(charset):
+        for known in (name, fallback, "utf-8"):
+            try:
+                codecs.lookup(known)
+            except LookupError:
+                continue
+            out[rows.index] = [bytes(b).decode(known, "replace") for b in rows]
+            break
+    return out
 
+
+def decode_pages(pages: DataFrame, content: str = "content", header: str = "content_type", fallback: str = "utf-8", out: str = "html") -> DataFrame:
+    """Bytes to text by the header's charset, else the fallback; bad bytes become U+FFFD. Valid UTF-8 and
+    Latin-1 are decoded by Spark; only what is left goes through Python, as Arrow batches."""
     named = F.lower(F.trim(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=([^;]+)", 1)))
-    return pages.withColumn(out, decoded(F.col(content), F.when(named == "", fallback).otherwise(named))).drop(content)
+    charset = F.when(named == "", fallback).otherwise(named)
+    utf8 = charset.isin("utf-8", "utf8") & F.is_valid_utf8(F.col(content).cast("string"))
+    latin = charset.isin("iso-8859-1", "latin-1", "latin1")
+    plain = F.coalesce(utf8 | latin, F.lit(False))
+    other = F.pandas_udf(lambda body, name: _bytes_as(body, name, fallback), "string")
+    rest = other(F.when(~plain, F.col(content)), charset)
+    easy = F.when(utf8, F.col(content).cast("string")).when(latin, F.decode(content, "ISO-8859-1"))
+    return pages.withColumn(out, F.coalesce(easy, rest)).drop(content)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,31 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+class JsonCache:
+    """Results as JSON rows in a folder, each good for some seconds from its time on."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _kept(self, name: str) -> list[int]:
+        """The times of a result's copies, from one listing."""
+        try:
+            files = self.spark.read.text(f"{self.path}/{name}/*").inputFiles()
+        except AnalysisException:
+            return []
+        return sorted({int(m[1]) for f in files if (m := re.search(r"/at-(\d+)/[^/]*$", f))})
+
+    def get(self, name: str, now: dt.datetime, seconds: int, make: Callable[[], DataFrame]) -> DataFrame:
+        """The rows (json) of the newest copy that is not older than its lifetime at now; else those that make
+        gives, kept as the copy of now."""
+        at = int((now - dt.datetime(1970, 1, 1)).total_seconds())
+        good = [t for t in self._kept(name) if at - seconds < t <= at]
+        if not good:
+            as_json(make()).write.mode("ignore").text(f"{self.path}/{name}/at-{at:012d}")
+            good = [at]
+        return self.spark.read.text(f"{self.path}/{name}/at-{good[-1]:012d}").withColumnRenamed("value", "json")
+
+
 def finished_run(source: str, started: dt.datetime, finished: dt.datetime, posts: DataFrame, saved: DataFrame) -> DataFrame:
     """The audit row of a run."""
     n = posts.agg(F.count("*").cast("int").alias("processed_count")).join(saved.agg(F.count("*").cast("int").alias("saved_count")), F.lit(True))

@@ -1,9 +1,9 @@
 import pytest
 
-from farewright.plans import history_queries, page_queries, queries
+from farewright.plans import board_queries, history_queries, page_queries, queries
 from tests.oracle import same
 
-assert page_queries and history_queries
+assert page_queries and history_queries and board_queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
