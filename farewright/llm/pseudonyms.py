@@ -31,29 +31,41 @@ ROUNDS = 10
 
 #: The lengths of IBANs by country, from the public registry.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
-    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20,
-    "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30}
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: A year of two digits is one of the hundred from here on.
+FIRST_SHORT_YEAR = 1930
 
 #: English names of months.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _MONTH = "(?:" + "|".join(case(n) for m in MONTHS for n in (m, m[:3]) for case in (str, str.upper, str.lower)) + ")"
+_LETTERS = [[chr(c) for c in codes if chr(c).islower() and len(chr(c).upper()) == 1 and chr(c).upper().lower() == chr(c) != chr(c).upper()]
+            for codes in (range(0x61, 0x7B), range(0xDF, 0x180), range(0x3B1, 0x3CA), range(0x430, 0x450))]
+#: What a letter or digit of an e-mail's local part is permuted among: its own alphabet, in lower case.
+_ALPHABETS = {c: alphabet for alphabet in (*_LETTERS, list("0123456789")) for c in alphabet}
+_LOCAL = "0-9" + "".join(c + c.upper() for alphabet in _LETTERS for c in alphabet)
 #: A local part has 64 characters and a label 63 at most, so a search reads no further from where it starts.
+_EMAIL = (rf"""(?<![{_LOCAL}])(?:[{_LOCAL}][{_LOCAL}._%+'!#$&*/=?^`{{|}}~-]{{0,63}}+|"[^"@\\\r\n]{{1,62}}")@"""
+          r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 _SHAPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "email": _EMAIL,
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
     "ip": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.[0-9A-Za-z])",
-    "ip6": r"(?<!:)(?:[0-9a-f]{1,4}:{1,2}|[0-9A-F]{1,4}:{1,2}){3,7}[0-9A-Fa-f]{1,4}(?!:)",
+    "ip6": r"(?<!:)(?:[0-9a-f]{1,4}:{1,2}|[0-9A-F]{1,4}:{1,2}){1,7}(?:[0-9A-Fa-f]{1,4}|(?<=::))(?!:)",
     "date": (rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{1,2}}/\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|\d{{1,2}}-\d{{1,2}}-\d{{4}}"
+             r"|(?<!/)\d{1,2}/\d{1,2}/\d{2}(?!/[0-9A-Za-z])|(?<!\.)\d{1,2}\.\d{1,2}\.\d{2}(?!\.[0-9A-Za-z])"
              rf"|\d{{1,2}}\.? {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})"),
-    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?!-)",
+    "ssn": r"(?<!-)\d{3}(?:-\d{2}-| \d{2} )\d{4}(?!-)",
     "phone": (r"(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
               r"|0\d{1,4}[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2})"),
     "card": r"\d(?:[ -]?\d){11,18}"}
 #: All kinds start where no letter or digit precedes; what only looks like one fails its check later.
 _PATTERN = re.compile(
-    r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:" + "|".join(f"(?P<{kind}>{shape})" for kind, shape in _SHAPES.items()) + r")(?![A-Za-z0-9])")
+    rf'(?<![A-Za-z0-9])(?=[{_LOCAL}+("])(?:' + "|".join(f"(?P<{kind}>{shape})" for kind, shape in _SHAPES.items()) + r")(?![A-Za-z0-9])")
 #: The same for each kind alone; of some, a shorter reading can be right where the longest is not.
 _ALONE = {kind: re.compile(shape + r"(?![A-Za-z0-9])") for kind, shape in _SHAPES.items()}
 _SHORTER = ("iban", "phone", "card")
@@ -133,14 +145,18 @@ def _ip(t: str, key: bytes, undo: bool) -> str:
 
 
 def _is_ssn(t: str) -> bool:
-    a, b, c = t.split("-")
+    a, b, c = re.split("[ -]", t)
     return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
 
 
 def _is_ip6(t: str) -> bool:
-    """Written as addresses are printed (RFC 5952), in one case, not starting with a colon."""
+    """Written as addresses are printed (RFC 5952), in one case, not starting with a colon. One of fewer than
+    four groups is in the ranges that are given out (2000::/3, fc00::/7, fe80::/10, ff00::/8)."""
     try:
-        return str(ipaddress.IPv6Address(t)) == t.lower() and t in (t.lower(), t.upper()) and t[0] != ":" and any(c.isdigit() for c in t)
+        if str(ipaddress.IPv6Address(t)) != t.lower() or t not in (t.lower(), t.upper()) or t[0] == ":" or not any(c.isdigit() for c in t):
+            return False
+        groups = [g for g in t.lower().split(":") if g]
+        return len(groups) > 3 or len(groups[0]) == 4 and bool(re.match("[23]|f[cdf]|fe[89ab]", groups[0]))
     except ValueError:
         return False
 
@@ -160,11 +176,14 @@ def _day(t: str) -> tuple[dt.date, str] | None:
     fields = re.findall(r"\d+|[A-Za-z]+", t)
     for roles in ("ymd", "dmy", "mdy"):
         got = dict(zip(roles, fields, strict=True))
-        if len(got["y"]) != 4 or not got["y"].isdigit() or not got["d"].isdigit():
+        if not got["y"].isdigit() or not got["d"].isdigit() or len(got["y"]) != 4 and (roles == "ymd" or len(got["y"]) != 2):
             continue
+        year = int(got["y"])
+        if len(got["y"]) == 2:
+            year += (FIRST_SHORT_YEAR - year + 99) // 100 * 100
         month = int(got["m"]) if got["m"].isdigit() else [m[:3] for m in MONTHS].index(got["m"][:3].title()) + 1
         try:
-            day = dt.date(int(got["y"]), month, int(got["d"]))
+            day = dt.date(year, month, int(got["d"]))
         except ValueError:
             continue
         if FIRST_DAY <= day.toordinal() <= LAST_DAY:
@@ -172,14 +191,14 @@ def _day(t: str) -> tuple[dt.date, str] | None:
     return None
 
 
-def _look(day: dt.date) -> tuple[int, bool]:
-    """What of a day decides how it can be written: digits of day and month, and whether the number of
-    the day can be that of a month."""
-    return (day.day > 9) + (day.day > 12), day.month > 9
+def _look(day: dt.date) -> tuple[int, bool, bool]:
+    """What of a day decides how it can be written: digits of day and month, whether the number of the
+    day can be that of a month, and whether two digits can be its year."""
+    return (day.day > 9) + (day.day > 12), day.month > 9, 0 <= day.year - FIRST_SHORT_YEAR < 100
 
 
 @lru_cache(maxsize=1)
-def _days() -> dict[tuple[int, bool], list[int]]:
+def _days() -> dict[tuple[int, bool, bool], list[int]]:
     """All days of the range, by their look."""
     out = defaultdict(list)
     for n in range(FIRST_DAY, LAST_DAY + 1):
@@ -204,7 +223,7 @@ def _date(t: str, key: bytes, undo: bool) -> str:
     def field(m: re.Match) -> str:
         old, new = m[0], {"y": day.year, "m": day.month, "d": day.day}[next(left)]
         if old.isdigit():
-            return str(new).zfill(len(old))
+            return str(new)[-2:] if len(old) == 2 and new > 99 else str(new).zfill(len(old))
         name = MONTHS[new - 1][: 3 if short else None]
         return name.upper() if old.isupper() else name.lower() if old.islower() else name
 
@@ -237,20 +256,18 @@ def _phone(t: str, key: bytes, undo: bool) -> str:
 
 
 def _email(t: str, key: bytes, undo: bool) -> str:
-    """Letters and digits before the @ are permuted as numbers of their own alphabets, letters keeping
-    the case they are found in; the domain stays."""
+    """Letters and digits before the @ are permuted as numbers of their own alphabets (plain and accented
+    Latin, Greek, Cyrillic), letters keeping the case they are found in; signs and the domain stay."""
     local, domain = t.split("@")
-    sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in local]
-    first = ["0" if c.isdigit() else "a" if c.isalpha() else c for c in local]
+    own = [_ALPHABETS.get(c, [c]) for c in local.lower()]
     rank, size = 0, 1
-    for c, f, n in zip(local.lower(), first, sizes, strict=True):
-        rank, size = rank * n + ord(c) - ord(f), size * n
-    rank = permute(rank, size, key, "email" + "".join(first) + "@" + domain.lower(), undo)
+    for c, alphabet in zip(local.lower(), own, strict=True):
+        rank, size = rank * len(alphabet) + alphabet.index(c), size * len(alphabet)
+    rank = permute(rank, size, key, "email" + "".join(alphabet[0] for alphabet in own) + "@" + domain.lower(), undo)
     out = []
-    for old, f, n in zip(reversed(local), reversed(first), reversed(sizes), strict=True):
-        rank, c = divmod(rank, n)
-        new = chr(ord(f) + c)
-        out.append(new.upper() if old.isupper() else new)
+    for old, alphabet in zip(reversed(local), reversed(own), strict=True):
+        rank, c = divmod(rank, len(alphabet))
+        out.append(alphabet[c].upper() if old.isupper() else alphabet[c])
     return "".join(reversed(out)) + "@" + domain
 
 
