@@ -8,7 +8,10 @@ and their counts brings all such pairs together. What meets in a cell is tested
 bound, then by Hamming distance. Two unrelated fingerprints share a cell with a chance of
 56 * (3/8)**20 = 1.7e-7.
 
-Only distinct fingerprints enter the grid, however many documents have them.
+Only distinct fingerprints enter the grid, however many documents have them. Where only the components
+are asked for, a cell's fingerprints are first tested against one of them, the cell's lead, so that a group
+of near copies costs a link for each; cells that are one component then have nothing to add. What is left
+of a crowded cell is dealt out again by the bits that vary in it, in eight groups of which five agree.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from farewright.llm.shared import fresh, written
 #: Shingles are hashed this many at a time, which bounds the memory for one very long text.
 CHUNK = 1 << 16
 MAX_DISTANCE = 3
+#: Rounds of leads, and fingerprints of a cell that are left after them and are not yet a crowd.
+STARS, CROWD = 2, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FIELDS = 0x5555555555555555
 
@@ -90,19 +95,106 @@ _CELLS = [sum(0xFF << 8 * g for g in five) for five in combinations(range(8), 5)
 _CELLS = [c - (1 << 64) if c >> 63 else c for c in _CELLS]
 
 
+def _visits(prints: DataFrame) -> DataFrame:
+    """(t, fp, cell): each fingerprint in each of its cells."""
+    e = prints.select("t", "fp", _embed(F.col("fp")).alias("e"))
+    cells = F.array(*(F.xxhash64(F.lit(i), "t", F.col("e").bitwiseAND(F.lit(c))) for i, c in enumerate(_CELLS)))
+    return e.select("t", "fp", F.explode(cells).alias("cell"))
+
+
+def _near(a: Column, b: Column) -> Column:
+    return (_manhattan(_embed(a), _embed(b)) <= MAX_DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE)
+
+
 def links(prints: DataFrame) -> DataFrame:
     """prints: (t, fp), distinct. (t, a, b), a < b: all pairs of fingerprints of a table with 3 or fewer
     differing bits, each once."""
-    e = prints.select("t", "fp", _embed(F.col("fp")).alias("e"))
-    cells = F.array(*(F.xxhash64(F.lit(i), "t", F.col("e").bitwiseAND(F.lit(c))) for i, c in enumerate(_CELLS)))
-    visits = e.select("t", "fp", F.explode(cells).alias("cell"))
+    visits = _visits(prints)
     p, q = visits.alias("p"), visits.alias("q")
     a, b = F.col("p.fp"), F.col("q.fp")
-    near = (_manhattan(_embed(a), _embed(b)) <= MAX_DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE)
-    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (a < b) & near)
+    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (a < b) & _near(a, b))
     return pairs.select("p.t", a.alias("a"), b.alias("b")).distinct()
 
 
+def _node(t: str, fp: str) -> Column:
+    return F.struct(F.col(t).alias("t"), F.col(fp).alias("fp"))
+
+
+def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met: (cell, t, fp, node, root). A cell's lead is that with most others in all its cells. A first round
+    tests each fingerprint against one lead, the first of those of its cells; more rounds test each cell
+    that is still of several components against its lead. (edges with those found, what is left of such
+    cells)."""
+    for k in range(STARS + 1):
+        if met.isEmpty():
+            break
+        sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
+        company = met.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("company"))
+        order = F.struct("company", "t", "fp", "node", "root")
+        leads = met.join(company, "node").groupBy("cell").agg(F.max(order).alias("lead"))
+        told = written(met.join(leads, "cell"), "leads")
+        asked = told.where((F.col("root") != F.col("lead.root")) & (F.col("t") == F.col("lead.t")))
+        if k == 0:
+            asked = asked.groupBy("node", "t", "fp").agg(F.max("lead").alias("lead"))
+        # One link of a fingerprint to each component that it is near.
+        found = asked.where(_near(F.col("fp"), F.col("lead.fp"))).groupBy("node", F.col("lead.root").alias("root")).agg(F.max("lead.node").alias("b"))
+        edges = edges.unionByName(written(found.select(F.col("node").alias("a"), "b"), "edges"))
+        left = (told.where("node <> lead.node") if k else told).select("cell", "t", "fp", "node", "root")
+        met = _mixed(_rooted(left.drop("root"), edges))
+    return edges, met
+
+
+def _rooted(met: DataFrame, edges: DataFrame) -> DataFrame:
+    of = components(edges)
+    return written(met.join(of, "node", "left").select("cell", "t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted")
+
+
+def _mixed(met: DataFrame) -> DataFrame:
+    """Cells of one component have nothing to add."""
+    several = met.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+    return written(met.join(several, "cell"), "mixed")
+
+
+def _masks(vary: int) -> list[int]:
+    """The bits of a long in eight groups as even as can be; for any five of them, their bits."""
+    at = [i for i in range(64) if vary >> i & 1]
+    groups = [sum(1 << i for i in at[k::8]) for k in range(8)]
+    masks = [sum(five) for five in combinations(groups, 5)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _dealt_again(met: DataFrame) -> DataFrame:
+    """The fingerprints of crowded cells in finer ones: of two within 3 bits, five of eight groups of the
+    bits that vary in the cell agree. Other cells stay as they are."""
+
+    def run(batches):
+        for batch in batches:
+            masks = [_masks(v & (1 << 64) - 1) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.int64()))], names=["cell", "masks"])
+
+    lead = met.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where(F.col("n") > CROWD).select("cell", "least")
+    crowds = met.join(lead, "cell").groupBy("cell").agg(F.bit_or(F.col("fp").bitwiseXOR(F.col("least"))).alias("vary"))
+    masks = written(crowds.mapInArrow(run, "cell long, masks array<bigint>"), "masks")
+    finer = met.join(masks, "cell").select("cell", "t", "fp", "node", "root", F.posexplode("masks").alias("i", "mask"))
+    finer = finer.select(F.xxhash64("cell", "i", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "t", "fp", "node", "root")
+    return _mixed(met.join(masks.select("cell"), "cell", "left_anti").unionByName(finer))
+
+
+def linked(prints: DataFrame) -> DataFrame:
+    """prints: (t, fp), distinct and written. (a, b), structs (t, fp): links of 3 or fewer differing bits that
+    join the same components as all such links do, but not all of them."""
+    visits = _visits(prints)
+    cells = written(visits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
+    node = _node("t", "fp")
+    met = written(visits.join(cells, "cell").select("cell", "t", "fp", node.alias("node"), node.alias("root")), "met")
+    none = met.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    edges, left = _starred(met, none)
+    edges, left = _starred(_dealt_again(left), edges)
+    p, q = left.alias("p"), left.alias("q")
+    rest = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.root") < F.col("q.root")) & _near(F.col("p.fp"), F.col("q.fp")))
+    return written(edges.unionByName(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()), "links")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row of docs: xxhash64 of its text, its signed
     fingerprint (of the first table), a name of its component, and the smallest doc_id that links of
@@ -119,13 +211,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(with_fingerprints(narrow, "text", "fps", shingle, tables).withColumn("fp", F.col("fps")[0]), "simhash")
     firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     if tables == 1:
-        of = components(links(firsts.select(F.lit(0).alias("t"), "fp")).select("a", "b"))
+        found = linked(firsts.select(F.lit(0).alias("t"), "fp"))
+        of = components(found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
     else:
         node = lambda t, fp: F.struct(F.lit(t).alias("t") if isinstance(t, int) else F.col(t).alias("t"), F.col(fp).alias("fp"))
         each = written(rows.select("fp", F.posexplode("fps").alias("t", "own")).distinct(), "tables")
-        near = links(each.select("t", F.col("own").alias("fp")).distinct())
+        near = linked(written(each.select("t", F.col("own").alias("fp")).distinct(), "own_prints"))
         ties = each.where("t > 0").select(node(0, "fp").alias("a"), node("t", "own").alias("b"))
-        of = components(near.select(node("t", "a").alias("a"), node("t", "b").alias("b")).unionByName(ties))
+        of = components(near.unionByName(ties))
         of = of.where("node.t = 0").select(F.col("node.fp").alias("node"), F.xxhash64("root").alias("root"))
     named = firsts.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", F.col("fp") if tables == 1 else F.xxhash64(node(0, "fp"))).alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
