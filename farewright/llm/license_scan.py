@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewright.llm.license_texts import LICENSES, PHRASES, TITLES, WORDS
+from farewright.llm.license_texts import PHRASES, WORDS, forms
 from farewright.llm.shared import fresh, lower_ascii
 
 #: Digest lists of no more rows are broadcast; longer ones are joined by shuffle.
@@ -38,10 +38,14 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] = LICENSES, titles: dict[str, list[str]] = TITLES) -> DataFrame:
-    """(digest, license): of each text as it is, and under each of its titles."""
-    rows = [(name, head + body) for name, body in texts.items() for head in ("", *(f"{t}\n\n" for t in titles.get(name, [])))]
-    return spark.createDataFrame(rows, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").distinct()
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(digest, license): of each known text in each of its forms. more: (license, text), texts of the user's
+    own; those that are null or without a word are left out."""
+    rows = spark.createDataFrame(forms(), "license string, text string")
+    if more is not None:
+        rows = rows.unionByName(more.select("license", "text"))
+    named = rows.where("license IS NOT NULL").select("license", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return named.select(F.sha2("form", 256).alias("digest"), "license").distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:

@@ -39,6 +39,17 @@ LICENSES = {
         "language governing permissions and limitations under the License."),
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
     "BSD-3-Clause": _BSD_HEAD + _BSD_NAMES + _BSD_TAIL,
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n"
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+        "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies "
+        "or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING "
+        "THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
         "that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_AS_IS),
@@ -53,6 +64,13 @@ LICENSES = {
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
         "so.\n\n" + _AS_IS),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law.\n\n" + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "\n\nFor more information, please refer to <https://unlicense.org>"),
     "Zlib": (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
         "damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including "
@@ -68,17 +86,33 @@ LICENSES |= {
     for f in sorted((files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 #: Titles that a copy may carry above its text.
 TITLES = {
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
     "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "ISC": ["ISC License", "The ISC License"],
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution"], "Zlib": ["zlib License", "The zlib/libpng License"],
 }
+#: The line that ends a licence whose file goes on with how to apply it.
+LAST_LINE = "END OF TERMS AND CONDITIONS"
+
+
+def forms(texts: dict[str, str] = LICENSES, titles: dict[str, list[str]] = TITLES) -> list[tuple[str, str]]:
+    """(license, text): each text as it is, under each of its titles, and without what follows its last line,
+    with that line and without."""
+    out = []
+    for name, body in texts.items():
+        terms, line, _ = body.partition(LAST_LINE)
+        bodies = [body, terms + line, terms] if line else [body]
+        out += [(name, head + b) for b in bodies for head in ("", *(f"{t}\n\n" for t in titles.get(name, [])))]
+    return out
+
+
 #: One-word spellings that count as equal, the right one kept.
 WORDS = {
     "acknowledgment": "acknowledgement", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
     "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "catalogue": "catalog", "categorise": "categorize",
     "centre": "center", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill",
     "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgment": "judgement", "labelling": "labeling",
-    "labour": "labor", "licence": "license", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
+    "labour": "labor", "licence": "license", "licences": "licenses", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program",
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization",
     "whilst": "while", "wilful": "willful"}

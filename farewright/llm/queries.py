@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewright.llm import chat_format, decontaminate, language_id, license_scan, merkle, mixing, ogg_media, pivot_index, pseudonyms, simhash_dedup, spelling, token_scan, url_rules
-from farewright.llm.license_texts import LICENSES, PHRASES, TITLES, WORDS
+from farewright.llm.license_texts import PHRASES, WORDS, forms
 from farewright.llm.shared import lower_ascii, written
 
 
@@ -25,7 +25,7 @@ def _quoted(text: str) -> str:
 
 def _op1_sql() -> str:
     """The same canonical form in SQL, with the licence texts and spellings as they stand."""
-    known = ", ".join(f"({_quoted(n)}, {_quoted(h + t)})" for n, t in LICENSES.items() for h in ("", *(f"{x}\n\n" for x in TITLES.get(n, []))))
+    known = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in forms())
     same = ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in WORDS.items())
     phrases = "t"
     for a, b in PHRASES.items():

@@ -135,15 +135,20 @@ def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         told = written(met.join(leads, "cell"), "leads")
         asked = told.where((F.col("root") != F.col("lead.root")) & (F.col("t") == F.col("lead.t")))
         if k == 0:
-            asked = asked.groupBy("node", "t", "fp").agg(F.max("lead").alias("lead"))
-        # One link of a fingerprint to each component that it is near.
-        found = asked.where(_near(F.col("fp"), F.col("lead.fp"))).groupBy("node", F.col("lead.root").alias("root")).agg(F.max("lead.node").alias("b"))
-        edges = edges.unionByName(written(found.select(F.col("node").alias("a"), "b"), "edges"))
+            asked = asked.groupBy("node", "t", "fp", "root").agg(F.max("lead").alias("lead"))
+        found = asked.where(_near(F.col("fp"), F.col("lead.fp")))
+        edges = edges.unionByName(written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges"))
         left = (told.where("node <> lead.node") if k else told).select("cell", "t", "fp", "node", "root")
         met = _mixed(_rooted(left.drop("root"), edges))
     return edges, met
 
 
+def _joining(found: DataFrame, x: str, y: str, a: str, b: str) -> DataFrame:
+    """(a, b): one of the links found between each two components x and y."""
+    ways = F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    return found.groupBy(ways.alias("ways")).agg(F.min(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("l")).select("l.a", "l.b")
+
+
 def _rooted(met: DataFrame, edges: DataFrame) -> DataFrame:
     of = components(edges)
     return written(met.join(of, "node", "left").select("cell", "t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted")
@@ -192,7 +197,7 @@ def linked(prints: DataFrame) -> DataFrame:
     edges, left = _starred(_dealt_again(left), edges)
     p, q = left.alias("p"), left.alias("q")
     rest = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.root") < F.col("q.root")) & _near(F.col("p.fp"), F.col("q.fp")))
-    return written(edges.unionByName(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()), "links")
+    return edges.unionByName(written(_joining(rest, "p.root", "q.root", "p.node", "q.node"), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:
