@@ -1,38 +1,19 @@
-"""Where intermediate tables go, and the few helpers that the operators share."""
+"""The few helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farewright.shared import shared_dir, written
+
+__all__ = ["LOWER", "SPACE", "UPPER", "fresh", "lower_ascii", "shared_dir", "written"]
+
 #: ASCII white space, as words are split by it: 0x20 and 0x09 to 0x0D.
 SPACE = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
-    that is unset and the session is local."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="farewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder: cuts lineage, survives
-    lost executors, and is computed once however often it is used."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(col):
     """A-Z to a-z, all else as it is (lower() would also fold other letters)."""
     return F.translate(col, UPPER, LOWER)
