@@ -22,9 +22,11 @@ BUCKETS = 1 << 16
 ROUNDS = 12
 #: Added to each count of a trigram.
 SMOOTHING = 0.5
-#: More labels than this are refused, before anything is counted: the model, BUCKETS floats for each,
-#: goes to every task.
-MAX_LANGUAGES = 256
+#: More labels, or more different trigrams of all labels together, than this are refused: the model, 20 bytes
+#: for each of these, goes to every task. A label has some ten thousand, so hundreds of languages fit.
+MAX_LANGUAGES, MAX_ENTRIES = 4096, 1 << 24
+#: Labels whose sums the driver takes at once.
+TAKEN = 64
 #: Labels whose counts a task holds at once.
 HELD = 32
 #: Bytes whose trigrams are taken at once, which bounds the memory for one very long text.
@@ -54,18 +56,68 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return used, counts[used].astype(np.float64)
 
 
+class Rows:
+    """The distributions of all languages over a text's trigrams: a floor for each language, and what is added
+    to it where the language has a trigram. Used like the matrix (language, trigram) in products."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, floor: np.ndarray, lang: np.ndarray, at: np.ndarray, gain: np.ndarray, log_gain: np.ndarray, width: int):
+        self.floor, self.lang, self.at, self.gain, self.log_gain, self.width = floor, lang, at, gain, log_gain, width
+
+    def __len__(self) -> int:
+        return len(self.floor)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return self.floor * x.sum() + np.bincount(self.lang, self.gain * x[self.at], len(self))
+
+    def __rmatmul__(self, share: np.ndarray) -> np.ndarray:
+        return share @ self.floor + np.bincount(self.at, self.gain * share[self.lang], self.width)
+
+    def log_dot(self, x: np.ndarray) -> np.ndarray:
+        """The logarithms of the matrix times x."""
+        return np.log(self.floor) * x.sum() + np.bincount(self.lang, self.log_gain * x[self.at], len(self))
+
+    def of(self, chosen: list[int]) -> np.ndarray:
+        """The rows of a few languages as they are."""
+        out = np.repeat(self.floor[chosen][:, None], self.width, axis=1)
+        for i, k in enumerate(chosen):
+            own = self.lang == k
+            out[i, self.at[own]] += self.gain[own]
+        return out
+
+
 @dataclass
 class Model:
-    """languages in code point order; logp[language, bucket]."""
+    """languages in code point order; the smoothed floor of each; and by bucket (from start[b] to start[b + 1])
+    which languages have it, and how much more likely it is there than the floor."""
 
     languages: list[str]
-    p: np.ndarray
+    floor: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    log_gain: np.ndarray
+
+    @staticmethod
+    def of(languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> Model:
+        total = np.bincount(lang, n, len(languages)) + SMOOTHING * BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        lang, bucket, n = lang[order].astype(np.int32), bucket[order], n[order]
+        start = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        return Model(languages, SMOOTHING / total, start, lang, n / total[lang], np.log1p(n / SMOOTHING))
+
+    def rows(self, used: np.ndarray) -> Rows:
+        count = self.start[used + 1] - self.start[used]
+        at = np.repeat(np.arange(len(used)), count)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + self.start[used][at]
+        return Rows(self.floor, self.lang[place], at, self.gain[place], self.log_gain[place], len(used))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts trigrams over all labelled texts; rows with a null text or label teach nothing. Only
     sums by language and bucket leave the tasks: one task's are at most BUCKETS for each language. The
-    driver takes one language at a time, of at most BUCKETS rows."""
+    driver takes some languages at a time, MAX_ENTRIES sums in all."""
 
     def sums_of(total: dict[str, np.ndarray]):
         for label, n in total.items():
@@ -90,15 +142,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     sums = written(rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    n = np.full((len(names), BUCKETS), SMOOTHING)
-    at = {name: i for i, name in enumerate(names)}
-    for name in names:
-        got = sums.where(F.col("lang") == name).select("bucket", "n").toArrow()
-        n[at[name], got["bucket"].to_numpy()] += got["n"].to_numpy()
-    return Model(names, n / n.sum(axis=1, keepdims=True))
-
-
-def proportions(p: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    if sums.count() > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} trigrams of all languages")
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(0, len(names), TAKEN):
+        got = sums.where(F.col("lang").isin(names[k : k + TAKEN])).toArrow()
+        at = {name: k + i for i, name in enumerate(names[k : k + TAKEN])}
+        lang = got["lang"].combine_chunks().dictionary_encode()
+        own = np.array([at[x] for x in lang.dictionary.to_pylist()], np.int64)
+        parts.append((own[lang.indices.to_numpy()] if len(own) else parts[0][0], got["bucket"].to_numpy().astype(np.int64), got["n"].to_numpy()))
+    return Model.of(names, *(np.concatenate(x) for x in zip(*parts)))
+
+
+def proportions(p: np.ndarray | Rows, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """EM: p[language, trigram], counts[trigram]. The mixing proportions and the log-likelihood."""
     total, share = counts.sum(), np.full(len(p), 1 / len(p))
     for _ in range(rounds if len(p) > 1 else 0):
@@ -122,16 +178,16 @@ def fitted(model: Model, text: str | None, penalty: float = 1.0) -> tuple[list[i
     used, counts = trigrams(text or "")
     if not len(used) or not model.languages:
         return [], np.zeros(0), 0.0
-    p = model.p[:, used]
-    alone = np.log(p) @ counts
+    p = model.rows(used)
+    alone = p.log_dot(counts)
     best = [int(np.argmax(alone))]
     total = counts.sum()
     share, reached, cost = np.ones(1), float(alone[best[0]]), penalty * np.log(total + 1)
     order = []
-    if float((p @ (counts / p[best[0]])).max()) - total > cost:
+    if float((p @ (counts / p.of(best)[0])).max()) - total > cost:
         order = np.argsort(-proportions(p, counts)[0], kind="stable")
     for k in (int(k) for k in order if k != best[0]):
-        tried, likelihood = proportions(p[[*best, k]], counts)
+        tried, likelihood = proportions(p.of([*best, k]), counts)
         if likelihood - reached <= cost or tried[-1] < 0.01:
             break
         best, share, reached = [*best, k], tried, likelihood

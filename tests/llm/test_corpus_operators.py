@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -334,6 +335,7 @@ def plain_mixture(model, t, penalty=1.0):
     """The mixture by plain loops, trying languages whether or not they could gain."""
     from math import log
 
+    p = model.rows(np.arange(language_id.BUCKETS)).of(list(range(len(model.languages))))
     # words are joined by one space, so each pair of neighbours has trigrams across it
     joined = f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} ".encode()
     seen = Counter()
@@ -347,11 +349,11 @@ def plain_mixture(model, t, penalty=1.0):
         for _ in range(language_id.ROUNDS if len(chosen) > 1 else 0):
             new = dict.fromkeys(chosen, 0.0)
             for b, c in seen.items():
-                whole = sum(share[k] * model.p[k, b] for k in chosen)
+                whole = sum(share[k] * p[k, b] for k in chosen)
                 for k in chosen:
-                    new[k] += c * share[k] * model.p[k, b] / whole
+                    new[k] += c * share[k] * p[k, b] / whole
             share = {k: v / n for k, v in new.items()}
-        return share, sum(c * log(sum(share[k] * model.p[k, b] for k in chosen)) for b, c in seen.items())
+        return share, sum(c * log(sum(share[k] * p[k, b] for k in chosen)) for b, c in seen.items())
 
     everyone = range(len(model.languages))
     best = [max(everyone, key=lambda k: em([k])[1])]
@@ -394,9 +396,26 @@ def test_many_labels(spark, monkeypatch):
     rows_ = [(sentences(i, 5, EN), f"l{i % 9}") for i in range(90)]
     few = language_id.fit(spark.createDataFrame(rows_, "text string, lang string").coalesce(1))
     monkeypatch.undo()
-    assert (few.p == language_id.fit(spark.createDataFrame(rows_, "text string, lang string")).p).all() and len(few.languages) == 9
+    whole = language_id.fit(spark.createDataFrame(rows_, "text string, lang string"))
+    every = np.arange(language_id.BUCKETS)
+    assert (few.rows(every).of(list(range(9))) == whole.rows(every).of(list(range(9)))).all() and len(few.languages) == 9
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 8)
     with pytest.raises(ValueError):
-        language_id.fit(spark.range(300).selectExpr("'x' AS text", "cast(id AS string) AS lang"))
+        language_id.fit(spark.createDataFrame(rows_, "text string, lang string"))
+    monkeypatch.undo()
+    monkeypatch.setattr(language_id, "MAX_ENTRIES", 8)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame(rows_, "text string, lang string"))
+
+
+def test_hundreds_of_languages(spark):
+    """300 languages of their own words; a text in one of them, and one in two, are told from all others."""
+    words = {f"l{k:03d}": ["".join(random.Random(f"{k}/{j}").choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for j in range(12)] for k in range(300)}
+    model = language_id.fit(spark.createDataFrame([(sentences(i, 60, w), name) for name, w in words.items() for i in range(2)], "text string, lang string"))
+    assert model.languages == sorted(words)
+    docs = spark.createDataFrame([(k, sentences(k, 40, w) + " " + sentences(k, 40 * (k % 2), words["l007"])) for k, w in enumerate(words.values())], "doc_id int, text string")
+    for r in language_id.identify(docs, model).collect():
+        assert {x.lang for x in r.langs if x.part > 0.2} == {f"l{r.doc_id:03d}", *(["l007"] * (r.doc_id % 2))}
 
 
 def test_language_rows(spark, model):
