@@ -9,9 +9,10 @@ bound, then by Hamming distance. Two unrelated fingerprints share a cell with a
 56 * (3/8)**20 = 1.7e-7.
 
 Only distinct fingerprints enter the grid, however many documents have them. Where only the components
-are asked for, a cell's fingerprints are first tested against one of them, the cell's lead, so that a group
-of near copies costs a link for each; cells that are one component then have nothing to add. What is left
-of a crowded cell is dealt out again by the bits that vary in it, in eight groups of which five agree.
+are asked for, a cell's fingerprints are tested against one of them, the cell's lead: first in eight of
+the cells, which joins most of a group of near copies by a link for each, then in all that are still of
+several components (the others have nothing to add). What is left of a crowded cell is dealt out again by
+the bits that vary in it, in eight groups of which five agree.
 """
 
 from __future__ import annotations
@@ -95,11 +96,16 @@ _CELLS = [sum(0xFF << 8 * g for g in five) for five in combinations(range(8), 5)
 _CELLS = [c - (1 << 64) if c >> 63 else c for c in _CELLS]
 
 
-def _visits(prints: DataFrame) -> DataFrame:
-    """(t, fp, cell): each fingerprint in each of its cells."""
-    e = prints.select("t", "fp", _embed(F.col("fp")).alias("e"))
-    cells = F.array(*(F.xxhash64(F.lit(i), "t", F.col("e").bitwiseAND(F.lit(c))) for i, c in enumerate(_CELLS)))
-    return e.select("t", "fp", F.explode(cells).alias("cell"))
+#: Of these, eight that take each group in turn as their first.
+_FEW = [i for i, five in enumerate(combinations(range(8), 5)) if any(set(five) == {(k + j) % 8 for j in range(5)} for k in range(8))]
+
+
+def _visits(prints: DataFrame, which: list[int] | None = None) -> DataFrame:
+    """prints: (t, fp, ...). Each fingerprint in each of its cells (or of those chosen), as a column cell."""
+    e = prints.withColumn("e", _embed(F.col("fp")))
+    chosen = range(len(_CELLS)) if which is None else which
+    cells = F.array(*(F.xxhash64(F.lit(i), "t", F.col("e").bitwiseAND(F.lit(_CELLS[i]))) for i in chosen))
+    return e.select(*prints.columns, F.explode(cells).alias("cell"))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -120,26 +126,31 @@ def _node(t: str, fp: str) -> Column:
     return F.struct(F.col(t).alias("t"), F.col(fp).alias("fp"))
 
 
+def _led(met: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
+    """met: (cell, t, fp, node, root). A cell's lead is that with most others in all its cells. (links found
+    between fingerprints and the leads of their cells, met with its leads). one: each fingerprint is tested
+    against the first of its leads only."""
+    sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
+    company = met.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("company"))
+    order = F.struct("company", "t", "fp", "node", "root")
+    leads = met.join(company, "node").groupBy("cell").agg(F.max(order).alias("lead"))
+    told = written(met.join(leads, "cell"), "leads")
+    asked = told.where((F.col("root") != F.col("lead.root")) & (F.col("t") == F.col("lead.t")))
+    if one:
+        asked = asked.groupBy("node", "t", "fp", "root").agg(F.max("lead").alias("lead"))
+    found = asked.where(_near(F.col("fp"), F.col("lead.fp")))
+    return written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges"), told
+
+
 def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """met: (cell, t, fp, node, root). A cell's lead is that with most others in all its cells. A first round
-    tests each fingerprint against one lead, the first of those of its cells; more rounds test each cell
-    that is still of several components against its lead. (edges with those found, what is left of such
-    cells)."""
-    for k in range(STARS + 1):
+    """Rounds that test each cell of several components against its lead. (edges with those found, what is left
+    of such cells)."""
+    for _ in range(STARS):
         if met.isEmpty():
             break
-        sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
-        company = met.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("company"))
-        order = F.struct("company", "t", "fp", "node", "root")
-        leads = met.join(company, "node").groupBy("cell").agg(F.max(order).alias("lead"))
-        told = written(met.join(leads, "cell"), "leads")
-        asked = told.where((F.col("root") != F.col("lead.root")) & (F.col("t") == F.col("lead.t")))
-        if k == 0:
-            asked = asked.groupBy("node", "t", "fp", "root").agg(F.max("lead").alias("lead"))
-        found = asked.where(_near(F.col("fp"), F.col("lead.fp")))
-        edges = edges.unionByName(written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges"))
-        left = (told.where("node <> lead.node") if k else told).select("cell", "t", "fp", "node", "root")
-        met = _mixed(_rooted(left.drop("root"), edges))
+        found, told = _led(met, False)
+        edges = edges.unionByName(found)
+        met = _mixed(_rooted(told.where("node <> lead.node").select("cell", "t", "fp", "node"), edges))
     return edges, met
 
 
@@ -188,12 +199,14 @@ def _dealt_again(met: DataFrame) -> DataFrame:
 def linked(prints: DataFrame) -> DataFrame:
     """prints: (t, fp), distinct and written. (a, b), structs (t, fp): links of 3 or fewer differing bits that
     join the same components as all such links do, but not all of them."""
-    visits = _visits(prints)
-    cells = written(visits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
-    node = _node("t", "fp")
-    met = written(visits.join(cells, "cell").select("cell", "t", "fp", node.alias("node"), node.alias("root")), "met")
-    none = met.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    edges, left = _starred(met, none)
+    known = prints.select("t", "fp", _node("t", "fp").alias("node"))
+    few = _visits(known.withColumn("root", F.col("node")), _FEW)
+    cells = written(few.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
+    edges, _ = _led(written(few.join(cells, "cell"), "met"), True)
+    of = components(edges)
+    visits = _visits(written(known.join(of, "node", "left").select("t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted"))
+    several = visits.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+    edges, left = _starred(written(visits.join(written(several, "cells"), "cell"), "met"), edges)
     edges, left = _starred(_dealt_again(left), edges)
     p, q = left.alias("p"), left.alias("q")
     rest = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.root") < F.col("q.root")) & _near(F.col("p.fp"), F.col("q.fp")))

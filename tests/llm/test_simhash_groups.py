@@ -75,11 +75,11 @@ def test_groups(spark, crowd, monkeypatch):
     assert got == brute(prints) and n <= 4 * len(prints)
 
 
-def test_a_large_group_has_no_more_links_than_prints(spark):
-    """All within 3 bits of one: some 20 million pairs, one link for each print."""
+def test_a_large_group_has_links_in_the_number_of_its_prints(spark):
+    """All within 3 bits of one: millions of pairs, some two links for each print."""
     prints = ball(random.Random(2), 10_000)
     got, n = run(spark, prints)
-    assert set(got.values()) == {min(prints)} and n <= 2 * len(prints)
+    assert set(got.values()) == {min(prints)} and n <= 3 * len(prints)
 
 
 def test_a_crowd_that_is_far_apart(spark):
