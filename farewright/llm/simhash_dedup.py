@@ -128,8 +128,9 @@ def _node(t: str, fp: str) -> Column:
 
 def _led(met: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
     """met: (cell, t, fp, node, root). A cell's lead is that with most others in all its cells. (links found
-    between fingerprints and the leads of their cells, met with its leads). one: each fingerprint is tested
-    against the first of its leads only."""
+    between fingerprints and the leads of their cells, met without the leads: each fingerprint is of the group
+    of a lead that it is near, or still of its own). one: each fingerprint is tested against the first of its
+    leads only, and leads stay. Groups are parts of components, which costs tests but loses none."""
     sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
     company = met.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("company"))
     order = F.struct("company", "t", "fp", "node", "root")
@@ -139,7 +140,10 @@ def _led(met: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
     if one:
         asked = asked.groupBy("node", "t", "fp", "root").agg(F.max("lead").alias("lead"))
     found = asked.where(_near(F.col("fp"), F.col("lead.fp")))
-    return written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges"), told
+    edges = written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges")
+    taken = written(found.groupBy("node").agg(F.max(F.struct("lead.company", "lead.root")).alias("l")).select("node", F.col("l.root").alias("new")), "taken")
+    left = (told if one else told.where("node <> lead.node")).join(taken, "node", "left")
+    return edges, left.select("cell", "t", "fp", "node", F.coalesce("new", "root").alias("root"))
 
 
 def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,9 +152,9 @@ def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(STARS):
         if met.isEmpty():
             break
-        found, told = _led(met, False)
+        found, left = _led(met, False)
         edges = edges.unionByName(found)
-        met = _mixed(_rooted(told.where("node <> lead.node").select("cell", "t", "fp", "node"), edges))
+        met = _mixed(written(left, "grouped"))
     return edges, met
 
 
@@ -160,13 +164,8 @@ def _joining(found: DataFrame, x: str, y: str, a: str, b: str) -> DataFrame:
     return found.groupBy(ways.alias("ways")).agg(F.min(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("l")).select("l.a", "l.b")
 
 
-def _rooted(met: DataFrame, edges: DataFrame) -> DataFrame:
-    of = components(edges)
-    return written(met.join(of, "node", "left").select("cell", "t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted")
-
-
 def _mixed(met: DataFrame) -> DataFrame:
-    """Cells of one component have nothing to add."""
+    """Cells of one group have nothing to add."""
     several = met.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
     return written(met.join(several, "cell"), "mixed")
 
@@ -202,8 +201,8 @@ def linked(prints: DataFrame) -> DataFrame:
     known = prints.select("t", "fp", _node("t", "fp").alias("node"))
     few = _visits(known.withColumn("root", F.col("node")), _FEW)
     cells = written(few.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
-    edges, _ = _led(written(few.join(cells, "cell"), "met"), True)
-    of = components(edges)
+    edges, grouped = _led(written(few.join(cells, "cell"), "met"), True)
+    of = grouped.groupBy("node").agg(F.max("root").alias("root"))
     visits = _visits(written(known.join(of, "node", "left").select("t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted"))
     several = visits.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
     edges, left = _starred(written(visits.join(written(several, "cells"), "cell"), "met"), edges)
