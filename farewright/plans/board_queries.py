@@ -25,10 +25,12 @@ def _say(template: str, **columns: Column | str) -> Column:
 
 
 def _pages(spark, sf_dir, row: Column, head: str, tail: str) -> DataFrame:
-    """(page, html): the rows of PAGE deals each, by id."""
-    d = V.deals(spark, sf_dir).select("id", "posted_at", "destination").withColumn("row", row)
+    """(page, html): the rows of PAGE deals each, by id. Dealt by page before rows are made, to so many tasks: by
+    their bytes, which are few beside the work of reading a page, all could go to one."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    d = V.deals(spark, sf_dir).select("id", "posted_at", "destination", F.floor(F.col("id") / PAGE).alias("page")).repartition(tasks, "page").withColumn("row", row)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "row"))), lambda r: r["row"])
-    return d.groupBy(F.floor(F.col("id") / PAGE).alias("page")).agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit(tail)).alias("html"))
+    return d.groupBy("page").agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit(tail)).alias("html"))
 
 
 def _listed(spark, sf_dir, source: str, row: Column, head: str, tail: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from urllib.parse import parse_qs, urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,30 @@ def post_time(text: Column, source: str, as_of: Column) -> Column:
     return F.coalesce(today, *more[source])
 
 
+#: Links whose parts are plain: a path from the root or a name in the list's folder, and a query without escapes.
+_PLAIN_LINK = re.compile(r"((?:/[A-Za-z0-9_-]+)+|[A-Za-z0-9_-]+\.php)(?:\?([A-Za-z0-9_&=-]+))?(#[A-Za-z0-9_-]+)?")
+_ROOTS = {s: (re.match("[a-z]+://[^/]+", u)[0], u.split("?")[0].rpartition("/")[0] + "/") for s, u in LIST_URLS.items()}
+
+
+def _linked(source: str, href: str) -> tuple[str, str, str]:
+    """(URL, path, query) of a link on a list's page; by urllib, unless the link is plain."""
+    root, folder = _ROOTS[source]
+    if m := _PLAIN_LINK.fullmatch(href):
+        url = (root if href[0] == "/" else folder) + href
+        return url, m[1] if href[0] == "/" else folder[len(root):] + m[1], m[2] or ""
+    url = urljoin(LIST_URLS[source], href)
+    at = urlsplit(url)
+    return url, at.path, at.query
+
+
+def _number(query: str) -> str:
+    """The first value of no that is not empty."""
+    if _PLAIN_LINK.fullmatch(f"/q?{query}"):
+        found = re.search("(?:^|&)no=([^&]+)", query)
+        return found[1] if found else ""
+    return parse_qs(query).get("no", [""])[0]
+
+
 def _text(node: Node | None) -> str | None:
     return None if node is None else node.text.strip()
 
@@ -70,22 +95,26 @@ def _row_a(row: Node) -> dict | None:
     for a in row.all("a"):
         href = a.attrs.get("href", "")
         if "view.php" in href and "id=ppomppu4" in href and "baselist-thumb" not in a.attrs.get("class", "").lower():
-            no = parse_qs(urlsplit(urljoin(LIST_URLS["ppomppu"], href)).query).get("no", [""])[0]
+            url, _, asked = _linked("ppomppu", href)
+            no = _number(asked)
             title = squeezed(a.text)
             shown = row.first("time") or row.first(None, "list_time") or row.first(None, "date")
-            return {"id": no, "href": href, "title": title, "shown": _text(shown)} if title and re.fullmatch(r"[0-9]+", no) else None
+            return {"id": no, "url": url, "title": title, "shown": _text(shown)} if title and re.fullmatch(r"[0-9]+", no) else None
     return None
 
 
 def _row_b(row: Node) -> dict | None:
     a = row.first("a", "subject_link")
-    found = a and re.search(r"/market/board/1020/read/([0-9]+)", urlsplit(urljoin(LIST_URLS["ruliweb"], a.attrs.get("href", ""))).path)
+    if a is None:
+        return None
+    url, path, _ = _linked("ruliweb", a.attrs.get("href", ""))
+    found = re.search(r"/market/board/1020/read/([0-9]+)", path)
     if not found:
         return None
     strong, reply = a.first("strong"), a.first(None, "num_reply")
     title = squeezed(strong.text) if strong and squeezed(strong.text) else squeezed(a.text.replace(reply.text, "", 1) if reply else a.text)
     cell = lambda c: _text(row.first("td", c))
-    return {"id": found[1], "href": a.attrs["href"], "title": title, "shown": cell("time"), "views": cell("hit"), "recommends": cell("recomd"), "comments": _text(row.first(None, "num_reply"))} if title else None
+    return {"id": found[1], "url": url, "title": title, "shown": cell("time"), "views": cell("hit"), "recommends": cell("recomd"), "comments": _text(row.first(None, "num_reply"))} if title else None
 
 
 def _row_c(row: Node) -> dict | None:
@@ -95,11 +124,13 @@ def _row_c(row: Node) -> dict | None:
         return None
     others = (a for a in subject.all("a") if not any(x in a.attrs.get("class", "").lower() for x in ("list_reply", "reply_symph")))
     a = subject.first("a", data_role="list-title-text") or next(others, None)
-    href = urljoin(LIST_URLS["clien"], a.attrs.get("href", "")).split("#")[0].split("?")[0] if a else ""
-    found = re.fullmatch(r"/service/board/jirum/([0-9]+)", urlsplit(href).path)
+    href = _linked("clien", a.attrs.get("href", ""))[0].split("#")[0].split("?")[0] if a else ""
+    inside = href.removeprefix(_ROOTS["clien"][0])
+    url, path, _ = _linked("clien", inside if inside.startswith("/") and _PLAIN_LINK.fullmatch(inside) else href)
+    found = re.fullmatch(r"/service/board/jirum/([0-9]+)", path)
     title = subject.attrs.get("title", "").strip() or (squeezed(a.text) if a else "")
     shown = row.first(None, "timestamp") or row.first(None, "time") or row.first(None, "date")
-    return {"id": found[1], "href": href, "title": title, "shown": _text(shown)} if found and title else None
+    return {"id": found[1], "url": url, "title": title, "shown": _text(shown)} if found and title else None
 
 
 def _is_row(source: str) -> Callable[[Node], bool]:
@@ -115,21 +146,31 @@ _ITEM = {"ppomppu": _row_a, "ruliweb": _row_b, "clien": _row_c}
 _HIDDEN = re.compile(r"(?is)<(script|style|noscript|svg)\b.*?</\1>|<!--.*?-->")
 
 
-@F.udtf(returnType="pos int, source_id string, source_url string, title string, shown string, views string, comments string, recommends string")
+_LISTED = "pos int, source_id string, source_url string, title string, shown string, views string, comments string, recommends string"
+#: Pages whose rows are handed on together.
+PAGES = 128
+
+
+def _posts(html: str | None, source: str):
+    """The values of _LISTED for each post of a page."""
+    if html is None:
+        return
+    if source == "clien":
+        html = _HIDDEN.sub("", html.removeprefix("\ufeff"))
+    seen: set[str] = set()
+    for pos, item in enumerate(item for row in parts(html, _is_row(source)) if (item := _ITEM[source](row))):
+        if item["id"] not in seen:
+            seen.add(item["id"])
+            yield pos, item["id"], item["url"], item["title"], item.get("shown"), item.get("views"), item.get("comments"), item.get("recommends")
+
+
+@F.udtf(returnType=_LISTED)
 class ListRows:
     """list_rows(html, source): the list rows of a page, each when it closes, the first of each post id; pos
     counts the rows that are posts, from 0. A null page has none."""
 
     def eval(self, html: str, source: str):
-        if html is None:
-            return
-        if source == "clien":
-            html = _HIDDEN.sub("", html.removeprefix("\ufeff"))
-        seen: set[str] = set()
-        for pos, item in enumerate(item for row in parts(html, _is_row(source)) if (item := _ITEM[source](row))):
-            if item["id"] not in seen:
-                seen.add(item["id"])
-                yield pos, item["id"], urljoin(LIST_URLS[source], item["href"]), item["title"], item.get("shown"), item.get("views"), item.get("comments"), item.get("recommends")
+        yield from _posts(html, source)
 
 
 @F.udtf(returnType="body string")
@@ -161,9 +202,24 @@ def list_items(pages: DataFrame, source: str, as_of: dt.datetime, html: str = "h
     row without a time has as_of; counts that are no numbers are null. Pages keep all columns but
     the HTML; a null page has no rows."""
     keep = [c for c in pages.columns if c != html]
-    names = {n: f"_{n}" for n in ("pos", "source_id", "source_url", "title", "shown", "views", "comments", "recommends")}
-    rows = ListRows(F.col(html).outer(), F.lit(source)).toDF(*names.values())
-    got = pages.lateralJoin(rows)
+    names = [f"_{n.split()[0]}" for n in _LISTED.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                some = batch.slice(start, PAGES)
+                found = [(i, *post) for i, page in enumerate(some.column(0)) for post in _posts(page.as_py(), source)]
+                of, pos, *texts = zip(*found) if found else [()] * (len(names) + 1)
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(at) for c in some.columns[1:]), pa.array(pos, pa.int32()), *(pa.array(t, pa.string()) for t in texts)],
+                    names=[*some.schema.names[1:], *names])
+
+    narrow = pages.select(F.col(html).alias("_html"), *keep)
+    schema = narrow.drop("_html").withColumns({n: F.lit(0 if n == "_pos" else "") for n in names}).schema
+    for f in schema.fields:
+        f.nullable = True
+    got = narrow.mapInArrow(run, schema)
     at = F.coalesce(post_time(F.coalesce("_shown", F.lit("")), source, lit_time(as_of)), lit_time(as_of))
     return got.select(
         *keep, F.col("_pos").alias("pos"), F.col("_source_id").alias("source_id"), F.col("_source_url").alias("source_url"), F.col("_title").alias("title"), at.alias("posted_at"),
