@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewright.llm.shared import fresh, written
+from farewright.llm.shared import fresh, pieces, written
 
 BUCKETS = 1 << 16
 ROUNDS = 12
@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 used, n = trigrams(t)
                 if label not in total:
@@ -205,26 +205,28 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     every text if nothing was learned. Repeated rows each get the same answer; added columns take
     other names if docs has columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    width = len(docs.columns)
+    at = docs.columns.index(text) if text in docs.columns else width
     pred, score, langs, fit_, extra = fresh(docs, "lang_pred", "score", "langs", "lang_fit", "whole_text")
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores, all_of, fits = [], [], [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            for t in batch.column(at).to_pylist():
                 chosen, share, gain = fitted(model, t)
                 fits.append(gain)
                 names.append(model.languages[chosen[0]] if chosen else UNDETERMINED)
                 scores.append(min(1.0, float(share[0])) if chosen else 0.0)
                 all_of.append([{"lang": model.languages[i], "part": float(s)} for i, s in zip(chosen, share, strict=True)])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("part", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(all_of, kind), pa.array(fits, pa.float64())], names=[*batch.schema.names[:-1], pred, score, langs, fit_])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(all_of, kind), pa.array(fits, pa.float64())], names=[*batch.schema.names[:width], pred, score, langs, fit_])
 
     none = F.array().cast("array<struct<lang: string, part: double>>")
     schema = docs.withColumns({pred: F.lit(""), score: F.lit(0.0), langs: none, fit_: F.lit(0.0)}).schema
     for f in schema.fields:
         f.nullable = True
-    return docs.withColumn(extra, F.col(text)).mapInArrow(run, schema)
+    return (docs if at < width else docs.withColumn(extra, F.col(text))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

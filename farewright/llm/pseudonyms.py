@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewright.llm.shared import fresh
+from farewright.llm.shared import fresh, pieces
 
 ROUNDS = 10
 
@@ -381,7 +381,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", undo: bool = F
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts, spans = [], []
             for t in batch.column(at).to_pylist():
                 new, found = (None, []) if t is None else replace(t, key, undo)
