@@ -9,15 +9,16 @@ bound, then by Hamming distance. Two unrelated fingerprints share a cell with a
 56 * (3/8)**20 = 1.7e-7.
 
 Only distinct fingerprints enter the grid, however many documents have them. Where only the components
-are asked for, a cell's fingerprints are tested against one of them, the cell's lead: first in eight of
-the cells, which joins most of a group of near copies by a link for each, then in all that are still of
-several components (the others have nothing to add). What is left of a crowded cell is dealt out again by
-the bits that vary in it, in eight groups of which five agree.
+are asked for, each fingerprint is first tested against one lead of its cells, in eight of the cells, which joins
+most of a group of near copies by a link for each. Then the fingerprints of each cell that is still of several
+groups meet in arrays of BLOCK at most, which give as few links as join the same groups; in a larger cell,
+blocks of its largest group meet only blocks of the others. A cell with a crowd of those is dealt out again
+first, by the bits that vary in it, in eight groups of which five agree.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from farewright.llm.shared import fresh, written
 #: Shingles are hashed this many at a time, which bounds the memory for one very long text.
 CHUNK = 1 << 16
 MAX_DISTANCE = 3
-#: Rounds of leads, and fingerprints of a cell that are left after them and are not yet a crowd.
-STARS, CROWD = 2, 64
+#: Fingerprints of a cell that a task compares at a time, and those outside a cell's largest group that are not
+#: yet a crowd.
+BLOCK, CROWD = 1024, 1 << 14
+#: Groups of which a task remembers how its links have joined them.
+MOST_JOINED = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FIELDS = 0x5555555555555555
 
@@ -126,48 +130,18 @@ def _node(t: str, fp: str) -> Column:
     return F.struct(F.col(t).alias("t"), F.col(fp).alias("fp"))
 
 
-def _led(met: DataFrame, one: bool) -> tuple[DataFrame, DataFrame]:
-    """met: (cell, t, fp, node, root). A cell's lead is that with most others in all its cells. (links found
-    between fingerprints and the leads of their cells, met without the leads: each fingerprint is of the group
-    of a lead that it is near, or still of its own). one: each fingerprint is tested against the first of its
-    leads only, and leads stay. Groups are parts of components, which costs tests but loses none."""
+def _led(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met: (cell, t, fp, node). A cell's lead is that with most others in all its cells; each fingerprint is
+    tested against the first of its leads. (links found, one for each two leads or fingerprints; (node, root):
+    the lead that each is near, or itself). Groups are parts of components, which costs tests but loses none."""
     sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
     company = met.join(sizes, "cell").groupBy("node").agg(F.sum("size").alias("company"))
-    order = F.struct("company", "t", "fp", "node", "root")
-    leads = met.join(company, "node").groupBy("cell").agg(F.max(order).alias("lead"))
-    told = written(met.join(leads, "cell"), "leads")
-    asked = told.where((F.col("root") != F.col("lead.root")) & (F.col("t") == F.col("lead.t")))
-    if one:
-        asked = asked.groupBy("node", "t", "fp", "root").agg(F.max("lead").alias("lead"))
-    found = asked.where(_near(F.col("fp"), F.col("lead.fp")))
-    edges = written(_joining(found, "root", "lead.root", "node", "lead.node"), "edges")
-    taken = written(found.groupBy("node").agg(F.max(F.struct("lead.company", "lead.root")).alias("l")).select("node", F.col("l.root").alias("new")), "taken")
-    left = (told if one else told.where("node <> lead.node")).join(taken, "node", "left")
-    return edges, left.select("cell", "t", "fp", "node", F.coalesce("new", "root").alias("root"))
-
-
-def _starred(met: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rounds that test each cell of several components against its lead. (edges with those found, what is left
-    of such cells)."""
-    for _ in range(STARS):
-        if met.isEmpty():
-            break
-        found, left = _led(met, False)
-        edges = edges.unionByName(found)
-        met = _mixed(written(left, "grouped"))
-    return edges, met
-
-
-def _joining(found: DataFrame, x: str, y: str, a: str, b: str) -> DataFrame:
-    """(a, b): one of the links found between each two components x and y."""
-    ways = F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    return found.groupBy(ways.alias("ways")).agg(F.min(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("l")).select("l.a", "l.b")
-
-
-def _mixed(met: DataFrame) -> DataFrame:
-    """Cells of one group have nothing to add."""
-    several = met.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-    return written(met.join(several, "cell"), "mixed")
+    leads = met.join(company, "node").groupBy("cell").agg(F.max(F.struct("company", "t", "fp", "node")).alias("lead"))
+    asked = met.join(leads, "cell").where(F.col("t") == F.col("lead.t"))
+    first = written(asked.groupBy("node", "t", "fp").agg(F.max("lead").alias("lead")), "leads")
+    found = first.where((F.col("node") != F.col("lead.node")) & _near(F.col("fp"), F.col("lead.fp")))
+    found = written(found.select(F.col("node").alias("a"), F.col("lead.node").alias("b")), "edges")
+    return found, found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _masks(vary: int) -> list[int]:
@@ -179,37 +153,150 @@ def _masks(vary: int) -> list[int]:
 
 
 def _dealt_again(met: DataFrame) -> DataFrame:
-    """The fingerprints of crowded cells in finer ones: of two within 3 bits, five of eight groups of the
-    bits that vary in the cell agree. Other cells stay as they are."""
+    """The fingerprints of cells in finer ones: of two within 3 bits, five of eight groups of the bits that
+    vary in the cell agree."""
 
     def run(batches):
         for batch in batches:
             masks = [_masks(v & (1 << 64) - 1) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.int64()))], names=["cell", "masks"])
 
-    lead = met.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where(F.col("n") > CROWD).select("cell", "least")
-    crowds = met.join(lead, "cell").groupBy("cell").agg(F.bit_or(F.col("fp").bitwiseXOR(F.col("least"))).alias("vary"))
-    masks = written(crowds.mapInArrow(run, "cell long, masks array<bigint>"), "masks")
-    finer = met.join(masks, "cell").select("cell", "t", "fp", "node", "root", F.posexplode("masks").alias("i", "mask"))
-    finer = finer.select(F.xxhash64("cell", "i", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "t", "fp", "node", "root")
-    return _mixed(met.join(masks.select("cell"), "cell", "left_anti").unionByName(finer))
+    least = met.groupBy("cell").agg(F.min("fp").alias("least"))
+    vary = met.join(least, "cell").groupBy("cell").agg(F.bit_or(F.col("fp").bitwiseXOR(F.col("least"))).alias("vary"))
+    masks = written(vary.mapInArrow(run, "cell long, masks array<bigint>"), "masks")
+    finer = met.join(masks, "cell").select("cell", "t", "fp", "root", F.posexplode("masks").alias("i", "mask"))
+    return finer.select(F.xxhash64("cell", "i", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "t", "fp", "root")
+
+
+def _joined(near: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """near: a symmetric matrix; group: the group of each row. Places of links, as few as join all groups that
+    links join."""
+    seen, out = np.zeros(int(group.max()) + 1, bool), []
+    for first in np.unique(group).tolist():
+        if seen[first]:
+            continue
+        seen[first], queue = True, [first]
+        while queue:
+            own = np.flatnonzero(group == queue.pop())
+            reached = np.flatnonzero(near[own].any(axis=0) & ~seen[group])
+            fresh_, at = np.unique(group[reached], return_index=True)
+            out += [(int(own[np.argmax(near[own, j])]), int(j)) for j in reached[at]]
+            seen[fresh_] = True
+            queue += fresh_.tolist()
+    return out
+
+
+def _links_of(t: np.ndarray, fp: np.ndarray, root: np.ndarray, apart: int = 0) -> list[tuple[int, int]]:
+    """Places of links among fingerprints of a table that join what all their links of 3 or fewer bits join. root: any
+    columns that name their groups. apart: only links between the first so many and the others."""
+    group = np.unique(root, axis=0, return_inverse=True)[1].ravel()
+    bits = fp.astype(np.uint64)  # bit_count is of the absolute value
+    near = (np.bitwise_count(bits[:, None] ^ bits[None, :]) <= MAX_DISTANCE) & (t[:, None] == t[None, :])
+    if apart:
+        near[:apart, :apart] = near[apart:, apart:] = False
+    return _joined(near, group) if (near & (group[:, None] != group[None, :])).any() else []
+
+
+def _new(of: dict, x: tuple, y: tuple) -> bool:
+    """Whether a link between groups x and y says what the task's links before it do not. of: what those joined,
+    forgotten when it has grown to MOST_JOINED, which costs links but loses none."""
+
+    def find(x):
+        while (y := of.get(x, x)) != x:
+            of[x] = x = of.get(y, y)
+        return x
+
+    if len(of) >= MOST_JOINED:
+        of.clear()
+    x, y = find(x), find(y)
+    of[x] = y
+    return x != y
+
+
+_LINKS = "x struct<t: int, fp: bigint>, y struct<t: int, fp: bigint>, a struct<t: int, fp: bigint>, b struct<t: int, fp: bigint>"
+
+
+def _linked(t: np.ndarray, fp: np.ndarray, root: np.ndarray, places: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The links (x, y, a, b): of groups x and y, between fingerprints a and b."""
+    kind = pa.struct([("t", pa.int32()), ("fp", pa.int64())])
+    node = lambda t, fp: pa.StructArray.from_arrays([pa.array(t, pa.int32()), pa.array(fp, pa.int64())], fields=list(kind))
+    i, j = np.array(places, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([node(root[i, 0], root[i, 1]), node(root[j, 0], root[j, 1]), node(t[i], fp[i]), node(t[j], fp[j])], names=["x", "y", "a", "b"])
+
+
+def _in_cells(met: DataFrame) -> DataFrame:
+    """(x, y, a, b): links within cells that one task can take."""
+
+    def run(batches):
+        held, of = np.zeros((0, 5), np.int64), {}
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+            ends = np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1
+            ends = ends.tolist() + ([len(held)] if batch is None else [])
+            start, cells = 0, []
+            for end in ends:
+                cells += [(start + i, start + j) for i, j in _links_of(held[start:end, 1], held[start:end, 2], held[start:end, 3:])]
+                start = end
+            if cells := [(i, j) for i, j in cells if _new(of, tuple(held[i, 3:].tolist()), tuple(held[j, 3:].tolist()))]:
+                yield _linked(held[:, 1], held[:, 2], held[:, 3:], cells)
+            held = held[start:]
+
+    rows = met.select("cell", "t", "fp", F.col("root.t").alias("rt"), F.col("root.fp").alias("rfp"))
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, _LINKS)
+
+
+def _across(told: DataFrame) -> DataFrame:
+    """told: (cell, t, fp, root, odd, n). (x, y, a, b): links within cells in blocks of about BLOCK: those of a cell's
+    largest group meet all others, and the others each other."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows = np.array([(r["t"], r["fp"], r["root"]["t"], r["root"]["fp"]) for r in (x if same else x + y)], np.int64)
+                if places := _links_of(rows[:, 0], rows[:, 1], rows[:, 2:], 0 if same else len(x)):
+                    yield _linked(rows[:, 0], rows[:, 1], rows[:, 2:], places)
+
+    block = F.pmod(F.xxhash64("cell", "fp"), F.ceil(F.col("n") / F.lit(BLOCK)).cast("long"))
+    blocks = written(told.groupBy("cell", "odd", block.alias("block")).agg(F.collect_list(F.struct("t", "fp", "root")).alias("rows")), "blocks")
+    p, q = blocks.where("odd").alias("p"), blocks.alias("q")
+    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (~F.col("q.odd") | (F.col("p.block") <= F.col("q.block"))))
+    same = F.col("q.odd") & (F.col("p.block") == F.col("q.block"))
+    return pairs.select(F.col("p.rows").alias("x"), F.col("q.rows").alias("y"), same.alias("same")).mapInArrow(run, _LINKS)
+
+
+def _within(visits: DataFrame, again: bool = True) -> DataFrame:
+    """visits: (cell, t, fp, root). (x, y, a, b): links that join what all links within cells join. Cells of
+    one group have nothing to add. again: cells of a crowd outside their largest group are dealt again."""
+    several = visits.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    met = written(visits.join(written(several.select("cell", "n"), "cells"), "cell"), "met")
+    found = written(_in_cells(met.where(F.col("n") <= BLOCK)), "links")
+    big = met.where(F.col("n") > BLOCK)
+    if big.isEmpty():
+        return found
+    largest = big.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max(F.struct("k", "root")).alias("most"))
+    odd = F.col("root") != F.col("most.root")
+    told = big.join(written(largest, "largest"), "cell").withColumns({"odd": odd, "others": F.col("n") - F.col("most.k")})
+    told = written(told.select("cell", "t", "fp", "root", "odd", "others", F.when(F.col("odd"), F.col("others")).otherwise(F.col("most.k")).alias("n")), "told")
+    if again:
+        crowds = told.where(F.col("others") > CROWD)
+        found = found if crowds.isEmpty() else found.unionByName(_within(_dealt_again(crowds), False))
+        told = told.where(F.col("others") <= CROWD)
+    return found.unionByName(written(_across(told), "links"))
 
 
 def linked(prints: DataFrame) -> DataFrame:
     """prints: (t, fp), distinct and written. (a, b), structs (t, fp): links of 3 or fewer differing bits that
     join the same components as all such links do, but not all of them."""
     known = prints.select("t", "fp", _node("t", "fp").alias("node"))
-    few = _visits(known.withColumn("root", F.col("node")), _FEW)
+    few = _visits(known, _FEW)
     cells = written(few.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
-    edges, grouped = _led(written(few.join(cells, "cell"), "met"), True)
-    of = grouped.groupBy("node").agg(F.max("root").alias("root"))
-    visits = _visits(written(known.join(of, "node", "left").select("t", "fp", "node", F.coalesce("root", "node").alias("root")), "rooted"))
-    several = visits.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-    edges, left = _starred(written(visits.join(written(several, "cells"), "cell"), "met"), edges)
-    edges, left = _starred(_dealt_again(left), edges)
-    p, q = left.alias("p"), left.alias("q")
-    rest = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.root") < F.col("q.root")) & _near(F.col("p.fp"), F.col("q.fp")))
-    return edges.unionByName(written(_joining(rest, "p.root", "q.root", "p.node", "q.node"), "links"))
+    edges, of = _led(written(few.join(cells, "cell"), "met"))
+    rooted = written(known.join(of, "node", "left").select("t", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    found = _within(_visits(rooted))
+    ways = F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    once = found.groupBy(ways.alias("ways")).agg(F.min(F.struct("a", "b")).alias("l")).select("l.a", "l.b")
+    return edges.unionByName(written(once, "joined"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tables: int = 1) -> DataFrame:

@@ -93,3 +93,43 @@ def test_a_crowd_that_is_far_apart(spark):
 def test_none(spark):
     assert run(spark, []) == ({}, 0)
     assert run(spark, [5]) == ({5: 5}, 0)
+
+
+@pytest.mark.parametrize(("block", "crowd"), [(8, 10_000), (8, 40), (50, 100)])
+def test_cells_larger_than_a_block(spark, block, crowd, monkeypatch):
+    """Blocks of a cell meet across, crowded cells are dealt again, and nothing is lost."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "CROWD", crowd)
+    r = random.Random(block + crowd)
+    prints = sorted({*ball(r, 150, 6), *one_cell(r, 200), *one_cell(r, 150, 12), *(signed(r.getrandbits(64)) for _ in range(50)), 0, -1})
+    got, _ = run(spark, prints)
+    assert got == brute(prints)
+
+
+def around(r, n):
+    """Prints of a large group of near copies: a few bits, some of them often, differ from a centre."""
+    centre, often, out = r.getrandbits(64), r.sample(range(64), 16), set()
+    while len(out) < n:
+        x = centre
+        for b in {*r.sample(often, r.randrange(1, 7)), *r.sample(range(64), r.randrange(3))}:
+            x ^= 1 << b
+        out.add(signed(x))
+    return sorted(out)
+
+
+def test_rows_grow_with_the_group(spark, monkeypatch):
+    """What is written and what tasks are sent stays within the number of a fingerprint's cells, whatever the group's
+    size; with crowded cells dealt again, a group of 2,000 wrote some hundred thousand rows."""
+    rows = {}
+
+    def counted(df, name, put=written):
+        out = put(df, name)
+        rows[n] = rows.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "written", counted)
+    for n in (500, 2000):
+        prints = around(random.Random(7), n)
+        got, _ = run(spark, prints)
+        assert got == brute(prints)
+    assert rows[2000] <= 3 * 56 * 2000, rows
